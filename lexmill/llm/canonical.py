@@ -16,14 +16,19 @@ are read once. Copies are resolved at the level of distinct texts before rows ar
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexmill.llm.common import written
+
 # Invisible characters, blanks, ligatures and look-alike letters.
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩︀︁︂︃︄︅︆︇︈︉︊︋︌︍︎️﻿"
 BLANKS = "               　"
@@ -38,12 +43,6 @@ _FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ]")
 _TOKEN = re.compile("[A-Za-zÀ-ɏ̀-ͯͰ-ϿЀ-ԯ]+")
 #: Back from Latin, for tokens that can only be Cyrillic or Greek (first listed wins).
 _BACK = {s: {v: k for k, v in reversed(list(m.items()))} for s, m in LOOK.items()}
-#: Texts with none of these are in the one form already (composing vowel signs and nuktas of Indic scripts included).
-SUSPECT = (
-    "[^\\x00-\\x7e§¶½À-Ö×Ø-öø-ſऀ-धप-यरलळव-हऽ-ॗॠ-ॿ"
-    "ঀ-঻ঽি-৆ৈ্ৠ-৾ஂ-஑ஓக-஽ி-௅ை்௦-௺‐-―‘-‟…₹№→]"
-)
-
 
 def _script(c: str) -> str:
     o = ord(c)
@@ -94,9 +93,29 @@ def _one_form(texts: pd.Series) -> pd.Series:
 
 
 def one_form_column(text: Column) -> Column:
-    """The one form as a column. Only texts with a suspect character travel to Python; the others are in the form already."""
-    suspect = (F.octet_length(text) != F.length(text)) & text.rlike(SUSPECT)
-    return F.when(suspect, _one_form(F.when(suspect, text))).otherwise(text)
+    """The one form as a column. Only texts with a character beyond ASCII travel to Python; the others are in the form already."""
+    wide = F.octet_length(text) != F.length(text)
+    return F.when(wide, _one_form(F.when(wide, text))).otherwise(text)
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def form_keys(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """(key, form, stored): 128-bit digests of the one form and of the stored text of every text that isn't blank."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            forms = [one_form(t) for t in texts]
+            stored = [_digest(t) for t in texts]
+            same = [s if f is t else None if not f.strip() else _digest(f) for t, f, s in zip(texts, forms, stored)]
+            out = pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(stored, pa.binary())], ["key", "form", "stored"])
+            yield out.filter(out.column(1).is_valid())
+
+    rows = df.select(F.col(key_col).alias("key"), F.col(text_col).cast("string").alias("text")).where(F.col("key").isNotNull() & F.col("text").rlike("\\S"))
+    return rows.mapInArrow(run, f"key {df.schema[key_col].dataType.simpleString()}, form binary, stored binary")
 
 
 def look_alike_pairs(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
@@ -105,15 +124,9 @@ def look_alike_pairs(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
     Distinct stored texts of one form are paired first and then joined to their rows, so the work follows
     the pairs put out, however large a group of equal texts is.
     """
-    rows = (
-        df.select(F.col(key_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-        .where(F.col("key").isNotNull() & F.col("text").isNotNull())
-        .withColumn("form", one_form_column(F.col("text")))
-        .where(F.col("form").rlike("\\S"))
-        .select("key", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("text")).alias("stored"))
-    )
+    rows = written(form_keys(df, key_col, text_col), "forms")
     varied = rows.groupBy("form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select("form")
-    rows = rows.join(varied, "form", "left_semi")
+    rows = written(rows.join(varied, "form", "left_semi"), "varied")
     texts = rows.select("form", "stored").distinct()
     other = texts.select("form", F.col("stored").alias("stored_b"))
     pairs = texts.join(other, "form").where("stored < stored_b").select("stored", "stored_b")
