@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import canonical, mixing, splitting, tokenise, truncation
+from lexmill.llm import canonical, mixing, neardup, splitting, tokenise, truncation
 from lexmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,14 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", canonical.one_form_column(F.col("text")).alias("text"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_pairs(table(spark, d, "chunks")).select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.classes_with_links(table(spark, d, "chunks"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.boundary_gaps(table(spark, d, "chunks"), "chunk_no", "text").select("chunk_no", "cut")
 
