@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import canonical, mixing, neardup, splitting, tokenise, truncation
+from lexmill.llm import canonical, knn, mixing, neardup, splitting, tokenise, truncation
 from lexmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,18 @@ def p4_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.classes_with_links(table(spark, d, "chunks"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = knn.nearest(table(spark, d, "chunks"), table(spark, d, "vec_probes"))
+    return found.select(F.col("query").alias("chunk_no"), F.col("near").alias("near_no"))
+
+
+def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """Queries: every chunk whose number is divisible by 50, against all rows."""
+    chunks = table(spark, d, "chunks")
+    found = knn.nearest(chunks, chunks.where("chunk_no % 50 = 0").select("chunk_no"))
+    return found.select(F.col("query").alias("chunk_no"), F.col("near").alias("near_no"), "cosine", "rank")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.boundary_gaps(table(spark, d, "chunks"), "chunk_no", "text").select("chunk_no", "cut")
 
