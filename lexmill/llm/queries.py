@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import canonical, knn, mixing, neardup, splitting, tokenise, truncation
+from lexmill.llm import canonical, knn, langid, mixing, neardup, splitting, tokenise, truncation
 from lexmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    model = langid.fit(table(spark, d, "documents"))
+    return langid.unnamed_languages(table(spark, d, "messages"), table(spark, d, "route_results"), model)
+
+
+def p2_languages(spark: SparkSession, d: str) -> DataFrame:
+    model = langid.fit(table(spark, d, "documents"))
+    return langid.segment_languages(table(spark, d, "messages").where("role = 'user'"), model)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     docs = canonical.look_alike_pairs(table(spark, d, "documents"), "doc_id", "text")
     chunks = canonical.look_alike_pairs(table(spark, d, "chunks"), "chunk_no", "text")
