@@ -34,7 +34,7 @@ LANGUAGES = ("en", "hi", "hinglish", "mr", "bn", "ta")
 SAMPLE, RUN, ROUNDS, MIN_WORDS = 300, 4, 4, 2
 VOCABULARY = f"{TOKENIZER_DIR}/piece_bpe_32k.model"
 #: A sentence has a language if the best one has this probability against the others.
-CONFIDENT = 0.8
+CONFIDENT = 0.9
 
 _WORD = regex.compile(r"[\p{L}][\p{L}\p{M}]*")
 _JAVA_WORD = "\\p{L}[\\p{L}\\p{M}]*"

@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import canonical, knn, langid, mixing, neardup, splitting, tokenise, truncation
+from lexmill.llm import canonical, knn, langid, mixing, neardup, ocr, splitting, tokenise, truncation
 from lexmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.line_faults(table(spark, d, "extracted_pages"))
+
+
+def p1_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.paragraphs(table(spark, d, "extracted_pages"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     model = langid.fit(table(spark, d, "documents"))
     return langid.unnamed_languages(table(spark, d, "messages"), table(spark, d, "route_results"), model)
