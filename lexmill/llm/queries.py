@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import canonical, knn, langid, mixing, neardup, ocr, splitting, tokenise, truncation
+from lexmill.llm import canonical, knn, langid, mixing, neardup, ocr, pii, splitting, tokenise, truncation
 from lexmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,18 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_pieces(table(spark, d, "chunks"), "chunk_no", "text", ("heading",))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    # a message delivered twice has the same content: one delivery is read
+    messages = table(spark, d, "messages").select("msg_no", "content").dropDuplicates(["msg_no"])
+    parts = [("messages", messages, "msg_no", "content"), ("extracted_pages", table(spark, d, "extracted_pages"), "page_no", "text"), ("input_verdicts", table(spark, d, "input_verdicts"), "msg_no", "sanitised")]
+    found = [pii.counted(t, key, text).select(F.lit(src).alias("src"), "row_key", "kind", "nth") for src, t, key, text in parts]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def p7_masked(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "messages").select("msg_no", pii.masked(F.col("content")).alias("content"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenise.encode_corpus(table(spark, d, "documents"))
 
