@@ -23,16 +23,21 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _with(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: inside a lambda it would be computed for every element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def unit(v: Column) -> Column:
     """L2-normalised; a zero vector stays."""
     n = norm(v)
-    return F.transform(v, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    return _with(F.when(n == 0, 1.0).otherwise(n), lambda m: F.transform(v, lambda x: x.cast("double") / m))
 
 
 def quantised(v: Column) -> Column:
     """int8 by the largest magnitude, halves rounded up."""
     top = F.aggregate(v, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x.cast("double"))))
-    return F.transform(v, lambda x: F.floor(x.cast("double") / F.when(top == 0, 1.0).otherwise(top) * 127 + 0.5).cast("tinyint"))
+    return _with(F.when(top == 0, 1.0).otherwise(top), lambda m: F.transform(v, lambda x: F.floor(x.cast("double") / m * 127 + 0.5).cast("tinyint")))
 
 
 def dequantised(q: Column) -> Column:
