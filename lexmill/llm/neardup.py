@@ -31,7 +31,7 @@ from lexmill.llm.common import written
 MIN_WORDS, RUN, THRESHOLD = 20, 3, 0.7
 VALUES, TABLES, SYMBOLS, BITS, RADIUS, HOT = 64, 20, 4, 6, 2, 256
 #: Bits of the signature that may differ: at 0.7 on average 9.6 of 64 do (deviation 2.9), at chance 31.
-SIGNATURE_BITS = 20
+SIGNATURE_BITS = 18
 
 _rng = np.random.default_rng(20240229)
 _ODD = _rng.integers(1, 1 << 32, VALUES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -74,7 +74,7 @@ def similarity(a: str, b: str) -> float:
 
 
 def sketches(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """(key, class_hash, signature, anchors, codes) of every text of at least MIN_WORDS words."""
+    """(key, class_hash, signature, anchors) of every text of at least MIN_WORDS words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -97,13 +97,12 @@ def sketches(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
                 mixed = _mixed(low.astype(np.uint64) + (np.arange(VALUES, dtype=np.uint64) << np.uint64(32)))
                 bit = mixed >> np.uint64(63)
                 signature = (bit << np.arange(VALUES, dtype=np.uint64)).sum(1, dtype=np.uint64)
-                anchors, codes = np.empty((len(kept), TABLES), np.uint64), np.empty((len(kept), TABLES), np.int32)
+                anchors = np.empty((len(kept), TABLES), np.uint64)
                 for t, pick in enumerate(_PICKS):
                     anchor = np.full(len(kept), t + 1, np.uint64)
                     for k in pick[:SYMBOLS]:
                         anchor = _mixed(anchor * np.uint64(0x9E3779B97F4A7C15) + mixed[:, k])
                     anchors[:, t] = anchor
-                    codes[:, t] = (bit[:, pick[SYMBOLS:]] << np.arange(BITS, dtype=np.uint64)).sum(1)
                 ends = pa.array(np.arange(len(kept) + 1, dtype=np.int32) * TABLES)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -111,42 +110,54 @@ def sketches(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
                         pa.array(classes, pa.binary()),
                         pa.array(signature.view(np.int64)),
                         pa.ListArray.from_arrays(ends, pa.array(anchors.ravel().view(np.int64))),
-                        pa.ListArray.from_arrays(ends, pa.array(codes.ravel())),
                     ],
-                    ["key", "class_hash", "signature", "anchors", "codes"],
+                    ["key", "class_hash", "signature", "anchors"],
                 )
 
     rows = df.select(F.col(key_col).alias("key"), F.col(text_col).cast("string").alias("text")).where(F.col("key").isNotNull() & F.col("text").isNotNull())
     kind = df.schema[key_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, class_hash binary, signature long, anchors array<long>, codes array<int>")
+    return rows.mapInArrow(run, f"key {kind}, class_hash binary, signature long, anchors array<long>")
 
 
 def _close(a: str, b: str):
     return F.expr(f"bit_count({a} ^ {b}) <= {SIGNATURE_BITS}")
 
 
+def _codes():
+    """The code of each table, read off the signature's bits."""
+    bit = lambda k: f"(shiftrightunsigned(signature, {k}) & 1L)"
+    return F.expr("array(" + ", ".join(" + ".join(f"shiftleft({bit(k)}, {i})" for i, k in enumerate(pick[SYMBOLS:])) for pick in _PICKS) + ")")
+
+
 def colliding(classes: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of classes that meet in a variant and whose signatures are close."""
-    prints = classes.select("key", "signature", F.explode(F.arrays_zip("anchors", "codes")).alias("p")).select(
-        F.col("p.anchors").alias("anchor"), F.col("p.codes").alias("code"), "key", "signature"
+    """(a, b), a < b: pairs of classes that meet in a variant and whose signatures are close.
+
+    One pass behind one shuffle: anchors of up to HOT texts give their close pairs at once; rows of hotter anchors
+    come out as they are and are joined on (anchor, variant) afterwards.
+    """
+    prints = classes.select("key", "signature", F.explode(F.arrays_zip("anchors", _codes().alias("codes"))).alias("p")).select(
+        F.col("p.anchors").alias("anchor"), F.col("p.codes").cast("int").alias("code"), "key", "signature"
     )
     shared = prints.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1")
     ball = F.array(F.col("code"), *(F.col("code").bitwiseXOR(F.lit(1 << i)) for i in range(BITS)))
-    variants = shared.select("anchor", F.explode(ball).alias("variant"), "key", "signature", "n")
-    met = variants.where(F.col("n") <= HOT).groupBy("anchor", "variant").agg(F.collect_list(F.struct("key", "signature")).alias("m")).where(F.size("m") > 1)
-    one = met.select("m", F.explode("m").alias("x"))
-    two = one.select("x", F.explode("m").alias("y")).where((F.col("x.key") < F.col("y.key")) & _close("x.signature", "y.signature"))
-    cool = two.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    hot = variants.where(F.col("n") > HOT).select("anchor", "variant", "key", "signature")
-    left, right = hot.alias("l"), hot.alias("r")
-    warm = left.join(right, ["anchor", "variant"]).where((F.col("l.key") < F.col("r.key")) & _close("l.signature", "r.signature"))
-    return cool.unionByName(warm.select(F.col("l.key").alias("a"), F.col("r.key").alias("b"))).distinct()
+    hot = F.col("n") > HOT
+    variants = shared.select("anchor", F.explode(F.when(hot, F.array(F.col("code"))).otherwise(ball)).alias("variant"), F.when(hot, F.col("key")).alias("alone"), "key", "signature")
+    met = variants.groupBy("anchor", "variant", "alone").agg(F.collect_list(F.struct("key", "signature")).alias("m")).where("size(m) > 1 or alone is not null")
+    one = met.select("anchor", "variant", "alone", "m", F.explode("m").alias("x"))
+    two = one.select("anchor", "variant", "alone", "x", F.explode("m").alias("y"))
+    two = two.where((F.col("x.key") < F.col("y.key")) & _close("x.signature", "y.signature") | F.col("alone").isNotNull())
+    rows = written(two.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), *(F.when(F.col("alone").isNotNull(), c).alias(n) for n, c in (("anchor", F.col("anchor")), ("code", F.col("variant")), ("signature", F.col("x.signature"))))), "met")
+    cool = rows.where("anchor is null").select("a", "b")
+    warm = rows.where("anchor is not null").select("anchor", F.explode(F.array(F.col("code"), *(F.col("code").bitwiseXOR(F.lit(1 << i)) for i in range(BITS)))).alias("variant"), F.col("a").alias("key"), "signature")
+    left, right = warm.alias("l"), warm.alias("r")
+    met_hot = left.join(right, ["anchor", "variant"]).where((F.col("l.key") < F.col("r.key")) & _close("l.signature", "r.signature"))
+    return cool.unionByName(met_hot.select(F.col("l.key").alias("a"), F.col("r.key").alias("b"))).distinct()
 
 
 def near_classes(df: DataFrame, key_col: str = "chunk_no", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Membership (key, class) and links (a, b, similarity) between the classes' smallest keys, at the threshold or above."""
     rows = written(sketches(df, key_col, text_col), "sketches")
-    classes = rows.groupBy("class_hash").agg(F.min(F.struct("key", "signature", "anchors", "codes")).alias("c"))
+    classes = rows.groupBy("class_hash").agg(F.min(F.struct("key", "signature", "anchors")).alias("c"))
     members = rows.select("key", F.min("key").over(Window.partitionBy("class_hash")).alias("class"))
     pairs = written(colliding(classes.select("c.*")), "colliding")
     texts = df.select(F.col(key_col).alias("k"), F.col(text_col).alias("t"))
