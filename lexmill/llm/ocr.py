@@ -149,16 +149,18 @@ def _pages(df: DataFrame) -> DataFrame:
 
 def edge_lines(scanned: DataFrame) -> DataFrame:
     """(page_no, line_no, kind): the header, footer and page number lines."""
-    e = scanned.where("kind = 'e'").select("page_no", "doc_id", "page", "line_no", F.col("word").alias("key"), "value", "explicit", "ended", "titled")
-    here = e.groupBy("doc_id", "key").agg(F.count_distinct("page").alias("pages"))
-    there = e.groupBy("key").agg(F.count_distinct("doc_id").alias("docs"), F.count("*").alias("edges"))
+    # keys travel as 64-bit hashes: an edge line's row is small however long the line
+    lettered = F.length(F.regexp_replace("word", "[^a-zA-Z]", "")) >= 4
+    e = scanned.where("kind = 'e'").select("page_no", F.xxhash64("doc_id").alias("doc"), "page", "line_no", F.xxhash64("word").alias("key"), lettered.alias("lettered"), "value", "explicit", "ended", "titled")
+    here = e.groupBy("doc", "key").agg(F.count_distinct("page").alias("pages"))
+    there = e.groupBy("key").agg(F.count_distinct("doc").alias("docs"), F.count("*").alias("edges"))
     running = here.where("pages >= 2").groupBy("key").agg(F.count("*").alias("running"))
-    inside = scanned.where("kind = 'm'").groupBy(F.col("word").alias("key")).agg(F.sum("n").alias("mid"))
+    inside = scanned.where("kind = 'm'").groupBy(F.xxhash64("word").alias("key")).agg(F.sum("n").alias("mid"))
     keys = there.join(inside, "key", "left").join(running, "key", "left").na.fill(0, ["mid", "running"])
-    shift = e.where("value is not null").groupBy("doc_id", (F.col("value") - F.col("page")).alias("shift")).agg(F.count_distinct("page").alias("alike"))
-    e = e.join(here, ["doc_id", "key"]).join(keys, "key").withColumn("shift", F.col("value") - F.col("page")).join(shift, ["doc_id", "shift"], "left")
+    shift = e.where("value is not null").groupBy("doc", (F.col("value") - F.col("page")).alias("shift")).agg(F.count_distinct("page").alias("alike"))
+    e = e.join(here, ["doc", "key"]).join(keys, "key").withColumn("shift", F.col("value") - F.col("page")).join(shift, ["doc", "shift"], "left")
     number = F.col("value").isNotNull() & (F.col("explicit") | (F.col("shift") == 0) | (F.col("alike") >= 2))
-    apart = F.col("value").isNull() & (F.col("mid") * 20 <= F.col("edges")) & (F.length(F.regexp_replace("key", "[^a-zA-Z]", "")) >= 4)
+    apart = F.col("value").isNull() & (F.col("mid") * 20 <= F.col("edges")) & F.col("lettered")
     often = (F.col("pages") >= 2) | (F.col("running") >= 2) | (F.col("titled") & (F.col("docs") >= 2))
     header = apart & F.when(F.col("ended"), F.col("pages") >= 3).otherwise(often)
     return e.select("page_no", "line_no", F.when(number, "pageno").when(header, "header").alias("kind")).where("kind is not null")
@@ -201,16 +203,22 @@ class _Plan:
         self.corrections = written(corrections(self.forms), "page-forms")
         common = self.forms.join(self.corrections.select("word").distinct(), "word", "left_anti").orderBy(F.desc("n"), "word").limit(COMMON)
         self.common = df.sparkSession.sparkContext.broadcast(frozenset(r.word for r in common.select("word").collect()))
+        # what a page is asked for is looked up in one pass over the texts; only these rows meet the edge lines, never the texts
+        seen = self.pages.mapInArrow(self._look(), self._LOOK)
         away = self.edges.groupBy("page_no").agg(F.collect_set("line_no").alias("away"))  # at most 2 x EDGE lines a page
-        self.lines = written(self.pages.join(away, "page_no", "left").select("page_no", "doc_id", "page", "text", "away").mapInArrow(self._look(), self._LOOK), "page-lines")
+        rows = seen.join(away, "page_no", "left").withColumn("away", F.coalesce("away", F.array().cast("array<int>")))
+        body = F.filter("ahead", lambda x: ~F.array_contains(F.col("away"), x.line))
+        rows = rows.where("kind = 'n' or not array_contains(away, line_no)").withColumn("next", F.get(body, 0)["word"])
+        self.lines = written(rows.drop("away", "ahead"), "page-lines")
 
-    _LOOK = "kind string, page_no long, doc_id string, page int, line_no int, word string, before string, after string, half string, next string"
+    _LOOK = "kind string, page_no long, doc_id string, page int, line_no int, word string, before string, after string, half string, ahead array<struct<line:int,word:string>>"
 
     def _look(self):
-        """Rare words of body lines ('c'), broken line ends ('h') and the first word of a page ('n')."""
+        """Rare words of lines ('c'), broken line ends ('h') and the first words of a page ('n'); ahead: the lines that may come next."""
         common = self.common
-        names = [x.split()[0] for x in self._LOOK.split(", ")]
-        types = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 5]
+        names = ["kind", "page_no", "doc_id", "page", "line_no", "word", "before", "after", "half", "ahead"]
+        ahead_type = pa.list_(pa.struct([("line", pa.int32()), ("word", pa.string())]))
+        types = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 4, ahead_type]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = common.value
@@ -219,21 +227,19 @@ class _Plan:
                 rows: list[tuple] = []
                 if len(judged) > 300_000:
                     judged.clear()
-                for page_no, doc, page, text, away in zip(*(c.to_pylist() for c in b.columns)):
-                    skip = set(away or ())
-                    body = [(i, x.split()) for i, x in enumerate(text.split("\n"), 1) if i not in skip]
+                for page_no, doc, page, text in zip(*(c.to_pylist() for c in b.columns)):
+                    body = [(i, x.split()) for i, x in enumerate(text.split("\n"), 1)]
                     body = [(i, x) for i, x in body if x]
-                    if body:
-                        rows.append(("n", page_no, doc, page, body[0][0], body[0][1][0], None, None, None, None))
-                    joined_from = ""
+                    begin = [{"line": i, "word": x[0]} for i, x in body[: EDGE + 1]]
+                    rows.append(("n", page_no, doc, page, 0, None, None, None, None, begin))
+                    joined_from = False
                     for k, (i, tokens) in enumerate(body):
                         last = tokens[-1]
                         half = last.lstrip(_STRIP)[:-1] if last.endswith("-") and len(last) > 1 and last[-2].isalpha() else None
                         if half:
-                            follow = body[k + 1][1][0] if k + 1 < len(body) else None
-                            rows.append(("h", page_no, doc, page, i, None, None, None, half, follow))
+                            rows.append(("h", page_no, doc, page, i, None, None, None, half, [{"line": j, "word": x[0]} for j, x in body[k + 1 : k + 2 + EDGE]]))
                         # a first word may be the rest of a word broken on the line or page before
-                        inner = tokens[1:] if joined_from or k == 0 and tokens[0][:1].islower() else tokens
+                        inner = tokens[1:] if joined_from or k <= EDGE and tokens[0][:1].islower() else tokens
                         if half:
                             inner = inner[:-1]
                         for p, t in enumerate(inner):
@@ -243,7 +249,7 @@ class _Plan:
                                 w = judged[t] = "" if w in known or not _LETTER.search(w) or _ODD.search(w) else w
                             if w:
                                 rows.append(("c", page_no, doc, page, i, w, bare(inner[p - 1]) if p else None, bare(inner[p + 1]) if p + 1 < len(inner) else None, None, None))
-                        joined_from = half or ""
+                        joined_from = bool(half)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
@@ -251,7 +257,7 @@ class _Plan:
 
     def broken(self) -> DataFrame:
         """(page_no, line_no, half, next, joined): line ends broken by a hyphen that isn't part of the word."""
-        first = self.lines.where("kind = 'n'").groupBy("doc_id", "page").agg(F.max_by("word", "page_no").alias("turned"))
+        first = self.lines.where("kind = 'n'").groupBy("doc_id", "page").agg(F.max_by("next", "page_no").alias("turned"))
         h = self.lines.where("kind = 'h'").select("page_no", "doc_id", "page", "line_no", "half", "next")
         h = h.join(first.select("doc_id", (F.col("page") - 1).alias("page"), "turned"), ["doc_id", "page"], "left")
         clean = lambda c: F.lower(F.regexp_replace(c, "[.,;:()\\[\\]{}\"'“”‘’?…—–]+", ""))
@@ -300,8 +306,9 @@ def line_faults(df: DataFrame) -> DataFrame:
     """(page_no, line_no, kind): every faulty line; kinds header, pageno, hyphen and char."""
     plan = _Plan(df)
     chars = plan.lines.where("kind = 'c'").join(plan.corrections.select("word").distinct(), "word", "left_semi").select("page_no", "line_no", F.lit("char").alias("kind"))
-    hyphens = plan.broken().select("page_no", "line_no", F.lit("hyphen").alias("kind"))
-    split_chars = plan.broken().join(plan.corrections.select(F.col("word").alias("joined"), "form"), "joined")
+    broken = written(plan.broken(), "broken")
+    hyphens = broken.select("page_no", "line_no", F.lit("hyphen").alias("kind"))
+    split_chars = broken.join(plan.corrections.select(F.col("word").alias("joined"), "form"), "joined")
     # the half that differs from the form's start holds the fault, else the other half (on the next line)
     same = F.substring("form", 1, 100).startswith(F.lower("half"))
     first_half = split_chars.where(~same).select("page_no", "line_no", F.lit("char").alias("kind"))
