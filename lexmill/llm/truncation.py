@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.canonical import one_form_column
+from lexmill.llm.common import written
 
 #: What may follow a text unseen, what ends a sentence, what closes a quotation.
 _UNSEEN = "[\\s\\u00a0\\u2000-\\u200f\\u202f\\u205f\\u2060\\u3000\\ufeff\\u00ad\\u2028\\u2029]"
@@ -108,7 +109,7 @@ def hidden_limits(inspected: DataFrame) -> DataFrame:
 
 def truncated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row a text: id, source, ending, limit_by (the encoding whose limit it reaches, else null) and cut."""
-    seen = _inspected(df, id_col, text_col, source_col)
+    seen = written(_inspected(df, id_col, text_col, source_col), "endings")  # texts are read once: a few numbers a text go on
     limits = hidden_limits(seen)  # one row a source at most
     seen = seen.alias("s").join(limits.alias("l"), F.col("s.source").eqNullSafe(F.col("l.source")), "left").select("s.*", "l.encoding", "l.limit")
     size = F.coalesce(*(F.when(F.col("encoding") == f.name, F.col(f"len.{f.name}")) for f in seen.schema["len"].dataType.fields))
