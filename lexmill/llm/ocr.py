@@ -3,8 +3,8 @@
 Method: words are grouped by their confusable-glyph skeleton; in each group a rare form is a misreading of a far more
 frequent form if the known glyph confusions lead from one to the other, and where several frequent forms are
 possible the one that its neighbours support most often is taken. Running headers and footers are lines at page edges
-that recur, digits masked, on pages of the document or at page edges of other documents. Words broken over a line (or page) end are
-rejoined where the whole corpus knows the joined form rather than the hyphenated one. Lines are then reflowed
+that recur, digits masked, on pages of the document or at page edges of other documents. Words broken over a line (or page) end, by any
+of ``HYPHENS``, are rejoined where the whole corpus knows the joined form rather than the hyphenated one. Lines are then reflowed
 to paragraphs with SQL windows over page order.
 
 Null and empty pages have no lines and no paragraphs. Pages extracted twice are judged each; repairs of a document use the latest
@@ -35,7 +35,10 @@ _STROKES = str.maketrans({**dict.fromkeys("fti1l!|", "i"), **dict.fromkeys("uh",
 _STRIP = ".,;:()[]{}\"'“”‘’?…—–"
 _LETTER = re.compile(r"[^\W\d_]")
 _ODD = re.compile(r"[@/\\]|\d{2,}|^\d+(?:st|nd|rd|th)$|^\d?[^\W\d_]$|^[^\W\d_]\d$", re.I)
-_BROKEN = re.compile(r"[^\W\d_]-[ \t]*\n\s*\S+")
+#: Signs at the end of a line that break a word: hyphen-minus, hyphen, non-breaking hyphen, soft hyphen, not sign.
+HYPHENS = "-\u2010\u2011\u00ad\u00ac"
+#: From the sign of a broken word to the end of its rest on the next line.
+_BROKEN = re.compile(f"[{HYPHENS}](?<=[^\\W\\d_].)[^\\S\\n]*\\n\\s*\\S+")
 _SMALL = frozenset("of the and for in to a an on by or at with".split())
 _NUMBER = re.compile(r"(?<![^\W_])\d[\d,./-]*(?![^\W_])")
 _PAGE = re.compile(r"^\W*(?:(?:page|paqe|pg|p)\W*)?(\d{1,4}|[ivxl]{1,7}|[l|!])(?:\W*(?:of|/)\W*\d{1,4})?(?:\W*page)?\W*$", re.I)
@@ -119,7 +122,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for page_no, doc, page, text in zip(*(c.to_pylist() for c in b.columns)):
             lines = text.split("\n")
-            words.update(text.split() if "-\n" not in text else _BROKEN.sub(" ", text).split())
+            words.update(_BROKEN.sub("- ", text).split())  # the half keeps a hyphen, by which it is left out below
             full = [i for i, x in enumerate(lines) if x.strip()]
             edge = set(full[:EDGE] + full[-EDGE:])
             for i in full:
@@ -132,7 +135,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clean: Counter[str] = Counter()
         for t, n in words.items():
             w = bare(t)
-            if w and _LETTER.search(w) and not w.endswith("-"):
+            if w and _LETTER.search(w) and w[-1] not in HYPHENS:
                 clean[w] += n
         rows += [("w", w, n, *[None] * 8) for w, n in clean.items()]
         rows += [("m", k, n, *[None] * 8) for k, n in inside.items()]
@@ -235,7 +238,7 @@ class _Plan:
                     joined_from = False
                     for k, (i, tokens) in enumerate(body):
                         last = tokens[-1]
-                        half = last.lstrip(_STRIP)[:-1] if last.endswith("-") and len(last) > 1 and last[-2].isalpha() else None
+                        half = last.lstrip(_STRIP)[:-1] if last[-1] in HYPHENS and len(last) > 1 and last[-2].isalpha() else None
                         if half:
                             rows.append(("h", page_no, doc, page, i, None, None, None, half, [{"line": j, "word": x[0]} for j, x in body[k + 1 : k + 2 + EDGE]]))
                         # a first word may be the rest of a word broken on the line or page before

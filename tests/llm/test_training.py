@@ -185,3 +185,17 @@ def test_misreadings():
     assert ocr.misread_of("sha1l", "shall") and ocr.misread_of("deared", "cleared") and ocr.misread_of("nohfy", "notify")
     assert not ocr.misread_of("shall", "shall") and not ocr.misread_of("street", "shall")
     assert ocr.skeleton("forthvvith") == ocr.skeleton("forthwith")
+
+
+def test_every_hyphen_breaks_a_word(spark):
+    good = "The tenant shall pay the settled rent within the said month."
+    rows = [(i, f"d{i}", 1, good) for i in range(10)]
+    rows += [(100 + i, f"x{i}", 1, f"The tenant shall pay the sett{sign}{' ' * (i % 2)}\nled rent within the said mon{sign}") for i, sign in enumerate(ocr.HYPHENS)]
+    rows += [(200 + i, f"x{i}", 2, "th.") for i in range(len(ocr.HYPHENS))]
+    df = spark.createDataFrame(rows, "page_no long, doc_id string, page int, text string")
+    assert set(ocr.HYPHENS) == set("-‐‑­¬")
+    got = {(r.page_no, r.line_no) for r in ocr.line_faults(df).where("kind = 'hyphen'").collect()}
+    assert got == {(100 + i, k) for i in range(len(ocr.HYPHENS)) for k in (1, 2)}
+    assert {r.text for r in ocr.paragraphs(df).collect()} == {good}
+    words = {r.word for r in ocr._Plan(df).forms.collect()}
+    assert not words & {"set", "sett", "led", "mon"} and not any(w[-1] in ocr.HYPHENS for w in words)
