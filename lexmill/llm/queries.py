@@ -69,15 +69,21 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_pieces(table(spark, d, "chunks"), "chunk_no", "text", ("heading",))
 
 
+def _personal(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, str, str]]:
+    """(src, table, key, text) of the texts with personal data."""
+    return [("messages", table(spark, d, "messages"), "msg_no", "content"), ("extracted_pages", table(spark, d, "extracted_pages"), "page_no", "text"), ("input_verdicts", table(spark, d, "input_verdicts"), "msg_no", "sanitised")]
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [("messages", table(spark, d, "messages"), "msg_no", "content"), ("extracted_pages", table(spark, d, "extracted_pages"), "page_no", "text"), ("input_verdicts", table(spark, d, "input_verdicts"), "msg_no", "sanitised")]
-    found = [pii.counted(t, key, text).select(F.lit(src).alias("src"), "row_key", "kind", "nth") for src, t, key, text in parts]
+    found = [pii.counted(t, key, text).select(F.lit(src).alias("src"), "row_key", "kind", "nth") for src, t, key, text in _personal(spark, d)]
     # a message delivered twice has the same content and items: they are counted once
     return found[0].distinct().unionByName(found[1]).unionByName(found[2])
 
 
 def p7_masked(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "messages").select("msg_no", pii.masked(F.col("content")).alias("content"))
+    """The masked text of every row, rows stored twice and null texts included."""
+    masked = [t.select(F.lit(src).alias("src"), F.col(key).alias("row_key"), pii.masked(F.col(text)).alias("text")) for src, t, key, text in _personal(spark, d)]
+    return masked[0].unionByName(masked[1]).unionByName(masked[2])
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.llm import canonical, knn, langid, mixing, neardup, ocr, pii, splitting, tokenise, truncation
+from lexmill.llm import canonical, knn, langid, mixing, neardup, ocr, pii, queries, splitting, tokenise, truncation
 
 random.seed(5)
 
@@ -199,3 +199,13 @@ def test_every_hyphen_breaks_a_word(spark):
     assert {r.text for r in ocr.paragraphs(df).collect()} == {good}
     words = {r.word for r in ocr._Plan(df).forms.collect()}
     assert not words & {"set", "sett", "led", "mon"} and not any(w[-1] in ocr.HYPHENS for w in words)
+
+
+def test_all_tables_are_masked(spark, tmp_path):
+    text, want = "Please send the draft to osonthavi-6@nyay.example. Thanks", "Please send the draft to [EMAIL]. Thanks"
+    for t, key, column in (("messages", "msg_no", "content"), ("extracted_pages", "page_no", "text"), ("input_verdicts", "msg_no", "sanitised")):
+        rows = [(1, text), (2, None), (3, ""), (4, "No case")] + [(1, text)] * (t == "messages")
+        spark.createDataFrame(rows, f"{key} long, {column} string").write.parquet(str(tmp_path / f"{t}.parquet"))
+    got = [tuple(r) for r in queries.p7_masked(spark, str(tmp_path)).select("src", "row_key", "text").collect()]
+    each = [(1, want), (2, None), (3, ""), (4, "No case")]
+    assert sorted(map(repr, got)) == sorted(repr((t, *r)) for t in ("messages", "extracted_pages", "input_verdicts") for r in each + [(1, want)] * (t == "messages"))
