@@ -38,7 +38,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_forms(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", canonical.one_form_column(F.col("text")).alias("text"))
+    parts = [("documents", "doc_id"), ("chunks", "chunk_no")]
+    forms = [table(spark, d, tab).select(F.lit(tab).alias("tab"), F.col(key).alias("key"), canonical.one_form_column(F.col("text")).alias("text")) for tab, key in parts]
+    return forms[0].unionByName(forms[1])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -209,3 +209,12 @@ def test_all_tables_are_masked(spark, tmp_path):
     got = [tuple(r) for r in queries.p7_masked(spark, str(tmp_path)).select("src", "row_key", "text").collect()]
     each = [(1, want), (2, None), (3, ""), (4, "No case")]
     assert sorted(map(repr, got)) == sorted(repr((t, *r)) for t in ("messages", "extracted_pages", "input_verdicts") for r in each + [(1, want)] * (t == "messages"))
+
+
+def test_forms_of_documents_and_chunks(spark, tmp_path):
+    rows = [(1, "the ｆｅｅ"), (2, None), (3, ""), (4, "раrty"), (5, "plain")]
+    for t, key in (("documents", "doc_id"), ("chunks", "chunk_no")):
+        spark.createDataFrame(rows, f"{key} long, text string").write.parquet(str(tmp_path / f"{t}.parquet"))
+    got = {(r.tab, r.key, r.text) for r in queries.p3_forms(spark, str(tmp_path)).collect()}
+    want = [(1, "the fee"), (2, None), (3, ""), (4, "party"), (5, "plain")]
+    assert got == {(t, *r) for t in ("documents", "chunks") for r in want}
