@@ -2,8 +2,9 @@
 
 Method: weighted fair queueing. Every (document, repeat) of a source is shuffled by a hash; its
 virtual finish time is the source's cumulative tokens up to it divided by the target weight. The
-queue is ordered by finish time and cut at the total budget, so at every moment each source has
-had tokens in proportion to its weight, as long as it has documents left.
+queue is ordered by finish time and ends at the finish time by which the total budget is due, so at every
+moment each source has had tokens in proportion to its weight, as long as it has documents left, and at
+the end each is short of its part of the budget by less than one document.
 
 The budget is the most that the targets allow: the least over the named sources that have tokens of
 tokens x max_repeats / (share of the source among those sources); it may be given instead. Cumulative

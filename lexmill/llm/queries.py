@@ -93,7 +93,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.draw(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.queue(mixing.draw(table(spark, d, "documents"), table(spark, d, "mix_targets")))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:

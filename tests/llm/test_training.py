@@ -218,3 +218,16 @@ def test_forms_of_documents_and_chunks(spark, tmp_path):
     got = {(r.tab, r.key, r.text) for r in queries.p3_forms(spark, str(tmp_path)).collect()}
     want = [(1, "the fee"), (2, None), (3, ""), (4, "party"), (5, "plain")]
     assert got == {(t, *r) for t in ("documents", "chunks") for r in want}
+
+
+def test_mixture_is_in_queue_order(spark, tmp_path):
+    docs = [(i, "big" if i % 3 else "small", "word " * (5 + i % 7)) for i in range(600)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 2)], "source string, target_share double, max_repeats int").write.parquet(str(tmp_path / "mix_targets.parquet"))
+    got = queries.p9_mix(spark, str(tmp_path)).collect()
+    assert len(got) > 600 and [r.finish for r in got] == sorted(r.finish for r in got)
+    # at every moment the two sources are apart by no more than a document each
+    had = {"big": 0, "small": 0}
+    for r in got:
+        had[r.source] += r.tokens
+        assert abs(had["big"] - had["small"]) <= 2 * max(x.tokens for x in got)
