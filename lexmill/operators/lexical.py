@@ -43,17 +43,31 @@ def question_terms(questions: DataFrame, qid: str, text: str) -> DataFrame:
     return rows.groupBy(qid, "term").agg(F.min("pos").alias("first"))
 
 
-def bm25(index: Index, questions: DataFrame, qid: str = "qid", text: str = "query", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(qid, key, score) of every passage that has a term of the question."""
+def _matches(index: Index, questions: DataFrame, qid: str, text: str) -> DataFrame:
+    """The asked terms of each passage with all that a score needs."""
     asked = question_terms(questions, qid, text)
     lengths = index.lengths()
     totals = lengths.agg(F.count("*").alias("docs"), F.greatest(F.avg("len"), F.lit(0.0)).alias("mean")).select("docs", F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0).alias("mean"))
     postings = index.postings(asked)
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    hits = asked.join(postings, "term").join(df, "term").join(lengths, index.key).crossJoin(totals)  # totals: one row
+    return asked.join(postings, "term").join(df, "term").join(lengths, index.key).crossJoin(totals)  # totals: one row
+
+
+def _score(k1: float, b: float) -> Column:
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return hits.groupBy(qid, index.key).agg(F.round(F.sum(part), 6).alias("score"))
+    return F.round(F.sum(part), 6)
+
+
+def bm25(index: Index, questions: DataFrame, qid: str = "qid", text: str = "query", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(qid, key, score) of every passage that has a term of the question."""
+    return _matches(index, questions, qid, text).groupBy(qid, index.key).agg(_score(k1, b).alias("score"))
+
+
+def bm25_trials(index: Index, questions: DataFrame, trials: list[tuple[float, float]], qid: str = "qid", text: str = "query") -> DataFrame:
+    """(trial, qid, key, score) for every pair (k1, b); trial is its place in the list. The index is read once for all."""
+    scores = F.array(*(_score(k1, b) for k1, b in trials))
+    return _matches(index, questions, qid, text).groupBy(qid, index.key).agg(scores.alias("scores")).select(F.posexplode("scores").alias("trial", "score"), qid, index.key)
 
 
 def top_k(scored: DataFrame, k: int, qid: str = "qid", key: str = "chunk_no", score: str | Column = "score") -> DataFrame:

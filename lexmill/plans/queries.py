@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import guard, readability, risk, text, vectors
 from lexmill.operators import chunking, corpus, dense, evaluation, fusion, lexical, metering, select
+from lexmill.params import GRID
 from lexmill.sources import files
 
 
@@ -299,15 +300,18 @@ def eval_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def param_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Mean metrics over a grid of k1 and b: one index, all trials in one plan."""
-    index, q = lexical.Index(_passages(spark, d), heading_weight=3), _questions(spark, d)
-    out = None
-    for k1 in (0.9, 1.6):
-        for b in (0.5, 0.75):
-            hits = lexical.top_k(lexical.bm25(index, q, k1=k1, b=b), 12)
-            m = evaluation.means(_judge(spark, d, hits, 12)).select(F.lit(k1).alias("k1"), F.lit(b).alias("b"), "hit", "rr", "ndcg", "objective")
-            out = m if out is None else out.unionByName(m)
-    return out
+    """Mean metrics over the whole grid of k1 and b: one index, all trials in one pass."""
+    trials = [(k1, b) for k1 in GRID["bm25_k1"] for b in GRID["bm25_b"]]
+    tried = spark.createDataFrame([(n, *t) for n, t in enumerate(trials)], "trial int, k1 double, b double")
+    scored = lexical.bm25_trials(lexical.Index(_passages(spark, d), heading_weight=3), _questions(spark, d), trials)
+    asked = F.concat_ws("/", F.col("trial").cast("string"), "qid").alias("qid")  # a question of a trial is judged as one of its own
+    hits = lexical.top_k(scored.select(asked, "chunk_no", "score"), 12)
+    passages = _passages(spark, d).select("chunk_no", "title", "ref", F.length("text").alias("chars"))
+    hits = hits.join(passages, "chunk_no").select("qid", "rank", "title", "ref", "chars")
+    targets = evaluation.gold_targets(_t(spark, d, "goldset")).crossJoin(tried).select(asked, "act", "ref")
+    each = evaluation.per_question(hits, targets, _questions(spark, d).crossJoin(tried).select(asked), 12)
+    each = each.withColumn("trial", F.element_at(F.split("qid", "/"), 1).cast("int")).join(tried, "trial")
+    return evaluation.means(each, "k1", "b").select("k1", "b", "hit", "rr", "ndcg", "objective")
 
 
 def daily_usage(spark: SparkSession, d: str) -> DataFrame:

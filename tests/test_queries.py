@@ -35,3 +35,17 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = {(r.start, r.user_id): round(r.used, 2) for r in spark.table("usage").collect()}
     assert len(got) > 100 and abs(sum(got.values()) - events.selectExpr("sum(value)").first()[0]) < 1
+
+
+def test_sweep_covers_the_grid(spark):
+    from lexmill.operators import evaluation, lexical
+    from lexmill.params import GRID
+    from lexmill.plans import queries
+
+    got = {(r.k1, r.b): (r.hit, r.rr, r.ndcg, r.objective) for r in queries.param_sweep(spark, DATA).collect()}
+    assert set(got) == {(k1, b) for k1 in GRID["bm25_k1"] for b in GRID["bm25_b"]}
+    # a trial of the pass is the trial by itself
+    index = lexical.Index(queries._passages(spark, DATA), heading_weight=3)
+    hits = lexical.top_k(lexical.bm25(index, queries._questions(spark, DATA), k1=2.0, b=0.9), 12)
+    alone = evaluation.means(queries._judge(spark, DATA, hits, 12)).first()
+    assert got[2.0, 0.9] == pytest.approx((alone.hit, alone.rr, alone.ndcg, alone.objective))
