@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import written
@@ -169,21 +169,28 @@ def edge_lines(scanned: DataFrame) -> DataFrame:
     return e.select("page_no", "line_no", F.when(number, "pageno").when(header, "header").alias("kind")).where("kind is not null")
 
 
-def word_forms(scanned: DataFrame) -> DataFrame:
-    """(word, n, bones): every word of the corpus with its count and skeleton."""
+def _with_bones(words: DataFrame) -> DataFrame:
+    """(word, n, bones): counted words with their skeletons."""
 
     def bones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([skeleton(w) for w in b.column(0).to_pylist()], pa.string())], ["word", "n", "bones"])
 
-    return scanned.where("kind = 'w'").groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(bones, "word string, n long, bones string")
+    return words.select("word", "n").mapInArrow(bones, "word string, n long, bones string")
+
+
+def word_forms(scanned: DataFrame) -> DataFrame:
+    """(word, n, bones): every word of the corpus with its count and skeleton."""
+    return _with_bones(scanned.where("kind = 'w'").groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def corrections(forms: DataFrame) -> DataFrame:
-    """(word, form, n): for every misread word the frequent forms it may stand for, with their counts."""
+def corrections(forms: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """(word, form, n): for every misread word of the corpus (or of other counted words) the frequent forms it may stand for, with their counts."""
     most = F.max("n").over(Window.partitionBy("bones"))
     grouped = forms.where(F.length("word").between(2, 40)).withColumn("most", most)
     frequent = grouped.where((F.col("n") >= LEAST) & (F.col("n") * 4 >= F.col("most"))).select("bones", F.col("word").alias("form"), F.col("n").alias("form_n"))
+    if others is not None:
+        grouped = others.where(F.length("word").between(2, 40)).join(forms.where(F.length("word").between(2, 40)).groupBy("bones").agg(F.max("n").alias("most")), "bones")
     rare = grouped.where((F.col("n") * RATIO <= F.col("most")) & (F.col("most") >= LEAST)).select("bones", "word", "n")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,6 +202,11 @@ def corrections(forms: DataFrame) -> DataFrame:
     return both.select("word", "form", F.col("form_n").alias("n")).mapInArrow(check, "word string, form string, n long")
 
 
+def _unmarked(word: Column | str) -> Column:
+    """The word without marks, in lower case."""
+    return F.lower(F.regexp_replace(word, "[.,;:()\\[\\]{}\"'“”‘’?…—–]+", ""))
+
+
 class _Plan:
     """The tables of one corpus."""
 
@@ -211,7 +223,7 @@ class _Plan:
         away = self.edges.groupBy("page_no").agg(F.collect_set("line_no").alias("away"))  # at most 2 x EDGE lines a page
         rows = seen.join(away, "page_no", "left").withColumn("away", F.coalesce("away", F.array().cast("array<int>")))
         body = F.filter("ahead", lambda x: ~F.array_contains(F.col("away"), x.line))
-        rows = rows.where("kind = 'n' or not array_contains(away, line_no)").withColumn("next", F.get(body, 0)["word"])
+        rows = rows.where("kind = 'n' or not array_contains(away, line_no)").withColumn("next", F.get(body, 0)["word"]).withColumn("next_line", F.get(body, 0)["line"])
         self.lines = written(rows.drop("away", "ahead"), "page-lines")
 
     _LOOK = "kind string, page_no long, doc_id string, page int, line_no int, word string, before string, after string, half string, ahead array<struct<line:int,word:string>>"
@@ -259,12 +271,11 @@ class _Plan:
         return run
 
     def broken(self) -> DataFrame:
-        """(page_no, line_no, half, next, joined): line ends broken by a hyphen that isn't part of the word."""
+        """(page_no, doc_id, page, line_no, half, tail, next_line, joined): line ends broken by a hyphen that isn't part of the word; next_line is null if the tail is on the next page."""
         first = self.lines.where("kind = 'n'").groupBy("doc_id", "page").agg(F.max_by("next", "page_no").alias("turned"))
-        h = self.lines.where("kind = 'h'").select("page_no", "doc_id", "page", "line_no", "half", "next")
+        h = self.lines.where("kind = 'h'").select("page_no", "doc_id", "page", "line_no", "half", "next", "next_line")
         h = h.join(first.select("doc_id", (F.col("page") - 1).alias("page"), "turned"), ["doc_id", "page"], "left")
-        clean = lambda c: F.lower(F.regexp_replace(c, "[.,;:()\\[\\]{}\"'“”‘’?…—–]+", ""))
-        h = h.withColumn("next", F.coalesce("next", "turned")).withColumn("tail", clean(F.coalesce("next", F.lit(""))))
+        h = h.withColumn("next", F.coalesce("next", "turned")).withColumn("tail", _unmarked(F.coalesce("next", F.lit(""))))
         h = h.withColumn("joined", F.concat(F.lower("half"), "tail")).withColumn("dashed", F.concat(F.lower("half"), F.lit("-"), "tail"))
         words = self.forms.select("word", "n")
         parts = words.where(F.col("word").contains("-")).select(F.concat(F.element_at(F.split("word", "-"), 1), F.lit("-")).alias("first"), "n").groupBy("first").agg(F.sum("n").alias("firsts"))
@@ -274,7 +285,7 @@ class _Plan:
         whole, spelt, firsts = (F.coalesce(c, F.lit(0)) for c in ("whole", "spelt", "firsts"))
         lower = F.col("next").rlike("^\\p{Ll}")
         is_broken = F.when(F.col("next").isNull(), firsts < LEAST).when((whole > 0) | (spelt > 0), whole > spelt).otherwise(lower & (firsts < LEAST))
-        return h.where(is_broken).select("page_no", "line_no", "half", "next", "joined")
+        return h.where(is_broken).select("page_no", "doc_id", "page", "line_no", "half", "tail", "next_line", "joined")
 
     def misread(self) -> DataFrame:
         """(page_no, line_no, word, form): misread words of body lines with the form chosen by context."""
@@ -311,11 +322,19 @@ def line_faults(df: DataFrame) -> DataFrame:
     chars = plan.lines.where("kind = 'c'").join(plan.corrections.select("word").distinct(), "word", "left_semi").select("page_no", "line_no", F.lit("char").alias("kind"))
     broken = written(plan.broken(), "broken")
     hyphens = broken.select("page_no", "line_no", F.lit("hyphen").alias("kind"))
-    split_chars = broken.join(plan.corrections.select(F.col("word").alias("joined"), "form"), "joined")
-    # the half that differs from the form's start holds the fault, else the other half (on the next line)
-    same = F.substring("form", 1, 100).startswith(F.lower("half"))
-    first_half = split_chars.where(~same).select("page_no", "line_no", F.lit("char").alias("kind"))
-    return plan.edges.unionByName(hyphens).unionByName(chars).unionByName(first_half).distinct()
+    # a joined form that never stands unbroken is judged by the same rules
+    unseen = broken.groupBy(F.col("joined").alias("word")).agg(F.count("*").alias("n")).join(plan.forms.select("word"), "word", "left_anti")
+    forms = plan.corrections.unionByName(corrections(plan.forms, _with_bones(unseen)))
+    forms = forms.groupBy(F.col("word").alias("joined")).agg(F.max_by("form", F.struct("n", "form")).alias("form"))
+    split_chars = broken.join(forms, "joined").withColumn("late", ~F.endswith("form", "tail"))
+    split_chars = written(split_chars.withColumn("early", ~F.startswith("form", F.lower("half")) | ~F.col("late")), "broken-forms")
+    char = F.lit("char").alias("kind")
+    # the half that differs from the form's start or end holds the fault; the rest stands on the next line, or first on the next page
+    first_half = split_chars.where("early").select("page_no", "line_no", char)
+    rest = split_chars.where("late and next_line is not null").select("page_no", F.col("next_line").alias("line_no"), char)
+    tops = plan.lines.where("kind = 'n' and next is not null").select("doc_id", "page", "page_no", _unmarked("next").alias("tail"), F.col("next_line").alias("line_no"))
+    turned = split_chars.where("late and next_line is null").select("doc_id", (F.col("page") + 1).alias("page"), "tail").join(tops, ["doc_id", "page", "tail"]).select("page_no", "line_no", char)
+    return plan.edges.unionByName(hyphens).unionByName(chars).unionByName(first_half).unionByName(rest).unionByName(turned).distinct()
 
 
 def paragraphs(df: DataFrame) -> DataFrame:

@@ -231,3 +231,14 @@ def test_mixture_is_in_queue_order(spark, tmp_path):
     for r in got:
         had[r.source] += r.tokens
         assert abs(had["big"] - had["small"]) <= 2 * max(x.tokens for x in got)
+
+
+def test_misread_halves(spark):
+    good = "The tenant shall pay the settled rent within the said month."
+    rows = [(i, f"d{i}", 1, good) for i in range(30)]
+    rows += [(100, "x", 1, "The tenant shall pay the 5et-\ntled rent within the said month."), (101, "y", 1, "The tenant shall pay the set-\nt1ed rent within the said month.")]
+    rows += [(102, "z", 1, "The tenant shall pay the set-"), (103, "z", 2, "t1ed rent within the said month."), (104, "z", 2, "t1ed rent within the said month.")]
+    rows += [(105, "v", 1, "The tenant shall pay the 5et-\nt1ed rent within the said month."), (106, "w", 1, "The tenant shall pay the set-\ntled rent within the said month.")]
+    df = spark.createDataFrame(rows, "page_no long, doc_id string, page int, text string")
+    got = {(r.page_no, r.line_no) for r in ocr.line_faults(df).where("kind = 'char'").collect()}
+    assert got == {(100, 1), (101, 2), (103, 1), (104, 1), (105, 1), (105, 2)}
