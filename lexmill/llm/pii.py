@@ -2,9 +2,9 @@
 
 Method: a skip-chain conditional random field. Text near a sign of personal data is cut into tokens (numbers,
 identity numbers and mail addresses are one token each). Token shapes, word lists and cues beside a token give the node
-potentials, neighbouring labels the chain potentials, and repeated (or, for names, similar) tokens of one text share skip
+potentials, neighbouring labels the chain potentials, and repeated tokens of one text (case aside) share skip
 potentials. Marginals come from loopy message passing: exact forward-backward sweeps along the chains alternate with
-messages along the skip links, batched over the texts of a block. Maximal runs of a label are the items.
+messages along the skip links, batched over the texts of a block (``SWEEPS`` - 1 rounds of messages). Maximal runs of a label are the items.
 
 The potentials are set by hand (no labelled rows exist here). Signs are searched in whole texts; text without any sign
 near it has no item. Null and empty texts have none; numbers needn't pass check digits; placeholders of an
