@@ -3,11 +3,15 @@
 Method: every text's length is computed under alternative encodings (code points, UTF-8 bytes,
 UTF-16 units, HTML escapes, JSON escapes, CRLF and LF line ends) and the lengths are grouped by source
 and encoding. A limit shows as a pile of texts just at one length that few texts of the source
-pass. Then the endings are inspected: a text is cut if it ends inside a word or sentence,
-whether or not a mark or a broken character follows; an abbreviation or a list number ends no sentence.
+pass; a source may have several. Then the endings are inspected, and the limits say what an ending means: texts
+at a limit are mostly cut, texts away from all limits mostly whole, so two mixtures of the same two components
+(endings of cut and of whole texts) are fitted by EM to the counts of endings at and away from limits. A text is cut if that is
+the likelier of the two for its ending where it stands: an abbreviation, a list number, a sign or a title line at the end may be cut at a limit and whole
+away from it. A sentence end and a whole last line are never cut, text without letters isn't either.
 
 Null, empty and blank texts aren't cut. Signature, date, place, copy, annexure, reference and
-closing-mark lines are whole endings. A null source is a source of its own. All in built-in expressions.
+closing-mark lines are whole endings. A null source is a source of its own. Texts are judged in built-in expressions;
+the driver sees one row for each kind of ending.
 """
 
 from __future__ import annotations
@@ -31,8 +35,12 @@ _WHOLE_LINE = (
     "|^\\W*(\\*\\W*\\*\\W*\\*|-\\W*-\\W*-|=+|#+|_+|~+|\\*{2,}|—+|-{2,})\\W*$"
     "|^\\[\\s*(?i:end)\\b.{0,60}\\]$|^\\W*(?i:the end|end|finis)\\W*$"
 )
+_TITLE = "^(?=.{3,70}$)\\P{Ll}*(?:\\p{Lu}[\\p{L}\\p{M}'’.-]*|\\p{Nd}+|of|the|and|for|in|to|a|an|on|by|or|at|with|&|[-–—:/()]|\\s)+$"
+#: What is known of endings before any text is seen, in texts: kind: (of cut texts, of whole texts). Sentence ends and whole lines are never cut.
+ENDINGS = {"inside": (30.0, 0.1), "mark": (10.0, 0.1), "title": (6.0, 0.05), "loose": (3.0, 0.05), "sign": (0.5, 1.0), "sentence": (0.0, 30.0), "whole": (0.0, 10.0)}
 #: A pile is a limit: at least so many texts, so many times as dense as the lengths below, with at most this share of texts beyond.
-MIN_PILE, DENSITY, BEYOND = 5, 8.0, 0.05
+#: A pile that many texts pass is a limit (of one field among several) if it is SPIKE times as dense as the lengths on both sides.
+MIN_PILE, DENSITY, BEYOND, SPIKE = 5, 8.0, 0.05, 10.0
 MIN_LIMIT, TAIL, REACH = 40, 4, 100
 
 
@@ -80,13 +88,14 @@ def _inspected(df: DataFrame, id_col: str, text_col: str, source_col: str) -> Da
         .when(loose, "loose")
         .when(end.rlike(f"[{_END}][{_CLOSE}]*\\z"), "sentence")
         .when(end.rlike("[\\p{So}\\p{Sk}>|#*]\\z"), "sign")
+        .when((F.size("__lines") > 1) & short.rlike(_TITLE), "title")
         .otherwise("inside")
         .alias("ending"),
     )
 
 
 def hidden_limits(inspected: DataFrame) -> DataFrame:
-    """(source, encoding, limit, at_limit, texts) of each exposed limit. One row for each source, encoding and length travels."""
+    """(source, encoding, limit, at_limit, passed, texts) of each exposed limit; passed: many texts of the source are longer. One row for each source, encoding and length travels."""
     encodings = [f.name for f in inspected.schema["len"].dataType.fields]
     pairs = F.explode(F.array(*(F.struct(F.lit(e).alias("encoding"), F.col(f"len.{e}").alias("n")) for e in encodings)))
     counts = inspected.where("len is not null").groupBy("source", "len").count().select("source", pairs.alias("p"), "count")
@@ -96,26 +105,48 @@ def hidden_limits(inspected: DataFrame) -> DataFrame:
     return (
         counts.withColumn("pile", F.sum("here").over(by.rangeBetween(-TAIL + 1, 0)))
         .withColumn("near", F.sum("here").over(by.rangeBetween(-REACH - TAIL, -TAIL)))
+        .withColumn("past", F.sum("here").over(by.rangeBetween(1, REACH)))
         .withColumn("beyond", F.sum("here").over(every) - F.sum("here").over(by))
         .withColumn("texts", F.sum("here").over(every))
         .where((F.col("n") >= MIN_LIMIT) & (F.col("pile") >= MIN_PILE))
         .where(F.col("pile") >= DENSITY * TAIL / REACH * F.coalesce("near", F.lit(0)))
-        .where(F.col("beyond") <= BEYOND * F.col("pile") + 0.02 * F.col("texts"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("pile"), F.desc("here"), "encoding", F.desc("n"))))
-        .where("rank = 1")
-        .select("source", "encoding", F.col("n").alias("limit"), F.col("pile").alias("at_limit"), "texts")
+        .withColumn("passed", ~(F.col("beyond") <= BEYOND * F.col("pile") + 0.02 * F.col("texts")))
+        .where(~F.col("passed") | (F.col("pile") >= SPIKE * (1 + TAIL / REACH * F.greatest(F.coalesce("near", F.lit(0)), F.coalesce("past", F.lit(0))))))
+        .select("source", "encoding", F.col("n").alias("limit"), F.col("pile").alias("at_limit"), "passed", "texts")
     )
 
 
+def ending_model(counts: dict[tuple[str, bool], int], rounds: int = 60) -> dict[tuple[str, bool], float]:
+    """Probability that a text is cut, by its ending and whether it stands at a limit: EM over the counts of (ending, at a limit)."""
+    places = {True: (9.0, 1.0), False: (0.5, 9.5)}  # known of texts at and away from limits: cut, whole
+    seen = {(k, at): counts.get((k, at), 0) for k in ENDINGS for at in places}
+    p = dict.fromkeys(seen, 0.0)
+    first = True
+    for _ in range(rounds):
+        cut = {k: a + sum(seen[k, at] * p[k, at] for at in places if not first) for k, (a, _) in ENDINGS.items()}
+        whole = {k: b + sum(seen[k, at] * (1 - p[k, at]) for at in places if not first) for k, (_, b) in ENDINGS.items()}
+        for at, (a, b) in places.items():
+            share = a / (a + b) if first else (a + sum(seen[k, at] * p[k, at] for k in ENDINGS)) / (a + b + sum(seen[k, at] for k in ENDINGS))
+            for k in ENDINGS:
+                x, y = share * cut[k] / sum(cut.values()), (1 - share) * whole[k] / sum(whole.values())
+                p[k, at] = x / (x + y)
+        first = False  # at first by what is known beforehand
+    return p
+
+
 def truncated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row a text: id, source, ending, limit_by (the encoding whose limit it reaches, else null) and cut."""
+    """One row a text: id, source, ending, limit_by (the encoding of a limit it reaches, else null) and cut."""
     seen = written(_inspected(df, id_col, text_col, source_col), "endings")  # texts are read once: a few numbers a text go on
-    limits = hidden_limits(seen)  # one row a source at most
-    seen = seen.alias("s").join(limits.alias("l"), F.col("s.source").eqNullSafe(F.col("l.source")), "left").select("s.*", "l.encoding", "l.limit")
-    size = F.coalesce(*(F.when(F.col("encoding") == f.name, F.col(f"len.{f.name}")) for f in seen.schema["len"].dataType.fields))
-    reached = size.between(F.col("limit") - TAIL, F.col("limit"))
-    seen = seen.withColumn("limit_by", F.when(reached, F.col("encoding")))
-    cut = F.col("ending").isin("inside", "mark", "loose")
+    limits = hidden_limits(seen).groupBy("source").agg(F.collect_list(F.struct("encoding", "limit", "at_limit", "passed")).alias("limits"))  # one row a source, of its few limits
+    seen = seen.alias("s").join(limits.alias("l"), F.col("s.source").eqNullSafe(F.col("l.source")), "left").select("s.*", "l.limits")
+    size = lambda e: F.coalesce(*(F.when(e == f.name, F.col(f"len.{f.name}")) for f in seen.schema["len"].dataType.fields))
+    reached = F.filter("limits", lambda x: size(x.encoding).between(x.limit - TAIL, x.limit))
+    first = F.element_at(F.array_sort(F.transform(reached, lambda x: F.struct(x.passed.alias("p"), (-x.at_limit).alias("n"), x.encoding.alias("e")))), 1)
+    seen = written(seen.withColumn("limit_by", F.when(F.size(reached) > 0, first["e"])).select("id", "source", "ending", "limit_by"), "limits")
+    at = F.col("limit_by").isNotNull()
+    counts = {(r.ending, r.at): r.n for r in seen.groupBy("ending", at.alias("at")).agg(F.count("*").alias("n")).collect()}  # one row a kind of ending
+    p = ending_model(counts)
+    cut = F.concat_ws("/", "ending", at.cast("string")).isin(*(f"{k}/{str(x).lower()}" for (k, x), v in p.items() if v > 0.5))
     return seen.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "ending", "limit_by", cut.alias("cut"))
 
 

@@ -129,7 +129,29 @@ def test_truncation(spark):
 def test_hidden_limit(spark):
     rows = [(i, "w" * random.randint(50, 180) + ".", "s") for i in range(200)] + [(1000 + i, "é" * 98 + "abcd", "s") for i in range(60)]
     seen = truncation._inspected(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source")
-    assert [(r.encoding, r.limit) for r in truncation.hidden_limits(seen).collect()] == [("bytes", 200)]
+    limits = truncation.hidden_limits(seen).collect()
+    assert [(r.encoding, r.limit) for r in limits if not r.passed] == [("bytes", 200)]
+    assert {(r.encoding, r.limit) for r in limits if r.encoding == "chars"} <= {("chars", 102 + k) for k in range(4)}
+
+
+def test_every_limit_of_a_source(spark):
+    rows = [(i, "w" * random.randint(50, 180) + ".", "s") for i in range(300)]
+    rows += [(1000 + i, "w" * 90, "s") for i in range(150)] + [(2000 + i, "w" * 250, "s") for i in range(40)]
+    got = {r.doc_id: r for r in truncation.truncated(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[k].cut and got[k].limit_by for k in (1000, 1149, 2000, 2039))
+
+
+def test_limits_decide_doubtful_endings(spark):
+    """The same ending is cut at a limit and whole away from it."""
+    rows = [(i, "w" * random.randint(50, 180) + ".", "s") for i in range(800)] + [(1000 + i, "w" * 400, "s") for i in range(150)]
+    rows += [(3000 + i, "w" * 391 + " paid Rs.", "s") for i in range(5)]
+    rows += [(4000 + i, "w" * random.randint(20, 90) + " paid Rs.", "t") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in truncation.truncated(df).collect()}
+    assert {got[3000 + i].ending for i in range(5)} == {got[4000].ending} == {"loose"}
+    assert all(got[3000 + i].cut for i in range(5)) and not any(got[4000 + i].cut for i in range(40))
+    assert all(got[1000 + i].cut for i in range(150)) and not any(got[i].cut for i in range(800))
+    assert truncation.truncated(df.limit(0)).count() == 0
 
 
 def test_languages(spark):
