@@ -242,6 +242,29 @@ def test_forms_of_documents_and_chunks(spark, tmp_path):
     assert got == {(t, *r) for t in ("documents", "chunks") for r in want}
 
 
+def test_mixture_gives_on_what_a_source_leaves(spark):
+    docs = [(i, "abc"[i % 3], "word " * (3 + i % 9)) for i in range(900)] + [(5000 + i, "tiny", "word word") for i in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.25, 1), ("b", 0.25, 1), ("c", 0.25, 1), ("tiny", 0.25, 2)], "source string, target_share double, max_repeats int")
+    drawn = mixing.draw(df, targets, budget=2000).collect()
+    assert sum(r.tokens for r in drawn) <= 2000 and 2000 - sum(r.tokens for r in drawn) < 20
+    assert sum(r.source == "tiny" for r in drawn) == 6  # it runs out, the others have the rest alike
+    had = [sum(r.tokens for r in drawn if r.source == s) for s in "abc"]
+    assert max(had) - min(had) <= 20 and sum(had) > 1900
+    assert sorted(r.queued for r in drawn) == [sum(x.tokens for x in sorted(drawn, key=lambda x: x.queued)[: k + 1]) for k in range(len(drawn))]
+    assert mixing.draw(df.limit(0), targets).count() == 0
+
+
+def test_mixture_over_many_slices_and_ranges(spark, monkeypatch):
+    docs = [(i, "ab"[i % 2], "word " * (3 + i % 9)) for i in range(700)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.3, 2), ("b", 0.7, 3)], "source string, target_share double, max_repeats int")
+    want = sorted(map(tuple, mixing.draw(df, targets).collect()))
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 40)
+    monkeypatch.setattr(mixing, "QUEUE_ROWS", 100)
+    assert sorted(map(tuple, mixing.draw(df, targets).collect())) == want
+
+
 def test_mixture_is_in_queue_order(spark, tmp_path):
     docs = [(i, "big" if i % 3 else "small", "word " * (5 + i % 7)) for i in range(600)]
     spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
