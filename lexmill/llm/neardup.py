@@ -1,16 +1,16 @@
 """Problem 4: groups of near-duplicate texts, without comparing all pairs.
 
-Method: meet-in-the-middle ball hashing. A text's fingerprint in each of ``TABLES`` tables is an anchor
-(a hash of ``SYMBOLS`` min-wise values of its three-word runs) and a short code of ``BITS`` one-bit
-min-wise values. Every fingerprint emits all variants of its code within half the radius (``RADIUS`` 2, so the code
-and each of its one-bit changes); two fingerprints whose codes differ in up to RADIUS bits meet in a
-variant. Rows are shuffled once, on the part that all variants of a fingerprint share (the anchor), and the
-variants are emitted behind the shuffle, only for anchors that two texts have. Colliding pairs are
-deduplicated, held against 64-bit signatures and verified exactly on their texts.
-
-At similarity 0.7 a pair meets in at least one table with probability 0.994, at 0.75 0.9995, at 0.8 over 0.9999.
-Texts with the same words (case and look-alikes aside) are one class: only its smallest key takes part, so copies cost nothing.
-Anchors of over ``HOT`` texts are paired by a spilling, skew-split join, all others inside lists of at most HOT.
+Method: meet-in-the-middle ball hashing. A text's fingerprint in each of ``TABLES`` tables is a block of
+its signature: a code of ``BITS`` one-bit min-wise values of its three-word runs under an anchor of ``SYMBOLS`` whole values. Every fingerprint
+emits all variants of its code within half the radius (``RADIUS`` 2, so the code and each of its one-bit changes); two
+fingerprints of an anchor whose codes differ in up to RADIUS bits meet in a variant, all others never do. Rows are shuffled once, on the part that
+all variants of a fingerprint share (the anchor), and the variants are emitted behind the shuffle while the
+sorted rows stream by. Colliding pairs are verified on their 64-bit signatures, deduplicated and verified exactly on their texts.
+
+At similarity 0.7 a pair meets in at least one table with probability 0.9986, at 0.75 0.9999; its signatures differ in over ``SIGNATURE_BITS`` bits with
+probability 0.001 at 0.7. Texts with the same words (case and look-alikes aside) are one class: only its smallest key takes part, so copies cost nothing.
+A task holds at most ``HELD`` rows of an anchor; rows of longer runs are streamed on and meet in a second, skew-split shuffle on
+(anchor, variant), by the same rule, so no pair is lost at any size.
 
 Null texts and texts under ``MIN_WORDS`` words are never part of a pair. Repeated keys aren't expected (the key must be unique).
 """
@@ -18,18 +18,20 @@ Null texts and texts under ``MIN_WORDS`` words are never part of a pair. Repeate
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.canonical import _digest, one_form
 from lexmill.llm.common import written
 
 MIN_WORDS, RUN, THRESHOLD = 20, 3, 0.7
-VALUES, TABLES, SYMBOLS, BITS, RADIUS, HOT = 64, 20, 4, 6, 2, 256
+VALUES, TABLES, SYMBOLS, BITS, RADIUS, HELD = 64, 20, 3, 10, 2, 200_000
 #: Bits of the signature that may differ: at 0.7 on average 9.6 of 64 do (deviation 2.9), at chance 31.
 SIGNATURE_BITS = 18
 
@@ -119,46 +121,117 @@ def sketches(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"key {kind}, class_hash binary, signature long, anchors array<long>")
 
 
-def _close(a: str, b: str):
-    return F.expr(f"bit_count({a} ^ {b}) <= {SIGNATURE_BITS}")
-
-
-def _codes():
-    """The code of each table, read off the signature's bits."""
-    bit = lambda k: f"(shiftrightunsigned(signature, {k}) & 1L)"
-    return F.expr("array(" + ", ".join(" + ".join(f"shiftleft({bit(k)}, {i})" for i, k in enumerate(pick[SYMBOLS:])) for pick in _PICKS) + ")")
+#: What turns a code into its variants: all changes of up to half the radius.
+_CHANGES = np.array([sum(1 << i for i in c) for h in range(RADIUS // 2 + 1) for c in combinations(range(BITS), h)], np.int64)
+_CODE_BITS = np.array([pick[SYMBOLS:] for pick in _PICKS], np.uint64)
+
+
+def codes(table: np.ndarray, signature: np.ndarray) -> np.ndarray:
+    """The code of each row's table, read off its signature."""
+    bits = (signature.view(np.uint64)[:, None] >> _CODE_BITS[table]) & np.uint64(1)
+    return (bits << np.arange(BITS, dtype=np.uint64)).sum(1, dtype=np.uint64).astype(np.int64)
+
+
+def meeting(group: np.ndarray, code: np.ndarray, signature: np.ndarray, changes: np.ndarray = _CHANGES) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the rows that share a group and a variant of their codes and have close signatures, each pair once."""
+    n = len(group)
+    at = np.tile(np.arange(n), len(changes))
+    variant = ((group << BITS) | code)[at] ^ np.repeat(changes, n)
+    order = np.argsort(variant, kind="stable")
+    variant, at = variant[order], at[order]
+    got: list[np.ndarray] = []
+    first = np.flatnonzero(variant[1:] == variant[:-1])
+    lag = 1
+    while len(first):  # rows of a variant stand side by side: pairs by their distance
+        i, j = at[first], at[first + lag]
+        close = np.bitwise_count((signature[i] ^ signature[j]).view(np.uint64)) <= SIGNATURE_BITS
+        i, j = i[close], j[close]
+        got.append(np.minimum(i, j) * n + np.maximum(i, j))
+        if len(got) > 64:
+            got = [np.unique(np.concatenate(got))]
+        lag += 1
+        first = first[first + lag < len(variant)]
+        first = first[variant[first] == variant[first + lag]]
+    pairs = np.unique(np.concatenate(got)) if got else np.zeros(0, np.int64)
+    return pairs // n, pairs % n
 
 
 def colliding(classes: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of classes that meet in a variant and whose signatures are close.
-
-    One pass behind one shuffle: anchors of up to HOT texts give their close pairs at once; rows of hotter anchors
-    come out as they are and are joined on (anchor, variant) afterwards.
-    """
-    prints = classes.select("key", "signature", F.explode(F.arrays_zip("anchors", _codes().alias("codes"))).alias("p")).select(
-        F.col("p.anchors").alias("anchor"), F.col("p.codes").cast("int").alias("code"), "key", "signature"
-    )
-    shared = prints.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1")
-    ball = F.array(F.col("code"), *(F.col("code").bitwiseXOR(F.lit(1 << i)) for i in range(BITS)))
-    hot = F.col("n") > HOT
-    variants = shared.select("anchor", F.explode(F.when(hot, F.array(F.col("code"))).otherwise(ball)).alias("variant"), F.when(hot, F.col("key")).alias("alone"), "key", "signature")
-    met = variants.groupBy("anchor", "variant", "alone").agg(F.collect_list(F.struct("key", "signature")).alias("m")).where("size(m) > 1 or alone is not null")
-    one = met.select("anchor", "variant", "alone", "m", F.explode("m").alias("x"))
-    two = one.select("anchor", "variant", "alone", "x", F.explode("m").alias("y"))
-    two = two.where((F.col("x.key") < F.col("y.key")) & _close("x.signature", "y.signature") | F.col("alone").isNotNull())
-    rows = written(two.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), *(F.when(F.col("alone").isNotNull(), c).alias(n) for n, c in (("anchor", F.col("anchor")), ("code", F.col("variant")), ("signature", F.col("x.signature"))))), "met")
-    cool = rows.where("anchor is null").select("a", "b")
-    warm = rows.where("anchor is not null").select("anchor", F.explode(F.array(F.col("code"), *(F.col("code").bitwiseXOR(F.lit(1 << i)) for i in range(BITS)))).alias("variant"), F.col("a").alias("key"), "signature")
-    left, right = warm.alias("l"), warm.alias("r")
-    met_hot = left.join(right, ["anchor", "variant"]).where((F.col("l.key") < F.col("r.key")) & _close("l.signature", "r.signature"))
-    return cool.unionByName(met_hot.select(F.col("l.key").alias("a"), F.col("r.key").alias("b"))).distinct()
+    """(a, b), a < b: pairs of classes that meet in a variant of a fingerprint and whose signatures are close."""
+    prints = classes.select("key", "signature", F.posexplode("anchors").alias("tab", "anchor"))
+    kind = classes.schema["key"].dataType.simpleString()
+    tables = prints.repartition("anchor").sortWithinPartitions("anchor")
+    held = HELD
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "anchor", "tab", "signature"]
+
+        def found(part: pa.Table) -> pa.RecordBatch:
+            anchor, tab, signature = (part[c].to_numpy() for c in ("anchor", "tab", "signature"))
+            begin = np.r_[True, anchor[1:] != anchor[:-1]]
+            alone = begin & np.r_[begin[1:], True]
+            rows = np.flatnonzero(~alone)  # an anchor of one text emits nothing
+            group = np.cumsum(begin)[rows]
+            i, j = meeting(group, codes(tab[rows], signature[rows]), signature[rows])
+            keys = part["key"].combine_chunks().take(pa.array(rows))
+            x, y = keys.take(pa.array(i)), keys.take(pa.array(j))
+            less = pc.less(x, y)
+            n = len(i)
+            return pa.RecordBatch.from_arrays([pc.if_else(less, x, y), pc.if_else(less, y, x), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names)
+
+        def streamed(part: pa.Table) -> pa.RecordBatch:
+            keys = part["key"].combine_chunks()
+            return pa.RecordBatch.from_arrays([keys, pa.nulls(len(keys), keys.type), *(part[c].combine_chunks() for c in ("anchor", "tab", "signature"))], names)
+
+        waiting: list[pa.Table] = []
+        size, hot = 0, None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            while t.num_rows:
+                anchor = t["anchor"].to_numpy()
+                if hot is not None:  # the rest of a run that was too long
+                    n = int(np.argmax(anchor != hot)) if (anchor != hot).any() else len(anchor)
+                    if n:
+                        yield streamed(t.slice(0, n))
+                    t = t.slice(n)
+                    hot = hot if not t.num_rows else None
+                    continue
+                waiting.append(t)
+                size += t.num_rows
+                t = t.slice(0, 0)
+                if size < held:
+                    break
+                whole = pa.concat_tables(waiting)
+                anchor = whole["anchor"].to_numpy()
+                if anchor[0] == anchor[-1]:
+                    hot = anchor[0]
+                    yield streamed(whole)
+                    waiting, size = [], 0
+                else:  # whole runs are done, the last may go on
+                    last = len(anchor) - int(np.argmax((anchor != anchor[-1])[::-1]))
+                    yield found(whole.slice(0, last))
+                    waiting = [whole.slice(last)]
+                    size = waiting[0].num_rows
+        if size:
+            yield found(pa.concat_tables(waiting))
+
+    rows = written(tables.select("key", "signature", F.col("tab").cast("int").alias("tab"), "anchor").mapInArrow(run, f"a {kind}, b {kind}, anchor long, tab int, signature long"), "met")
+    code = lambda bits: F.expr(" + ".join(f"shiftleft(shiftrightunsigned(signature, {k}) & 1L, {i})" for i, k in enumerate(bits)))
+    by_table = F.coalesce(*(F.when(F.col("tab") == t, code(pick[SYMBOLS:])) for t, pick in enumerate(_PICKS)))
+    long = rows.where("anchor is not null").withColumn("code", by_table)
+    long = long.select("anchor", F.explode(F.array(*(F.col("code").bitwiseXOR(F.lit(int(c))) for c in _CHANGES))).alias("variant"), F.col("a").alias("key"), "signature")
+    left, right = long.alias("l"), long.alias("r")
+    close = F.expr(f"bit_count(l.signature ^ r.signature) <= {SIGNATURE_BITS}")
+    met = left.join(right, ["anchor", "variant"]).where((F.col("l.key") < F.col("r.key")) & close)
+    return rows.where("anchor is null").select("a", "b").unionByName(met.select(F.col("l.key").alias("a"), F.col("r.key").alias("b"))).distinct()
 
 
 def near_classes(df: DataFrame, key_col: str = "chunk_no", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Membership (key, class) and links (a, b, similarity) between the classes' smallest keys, at the threshold or above."""
     rows = written(sketches(df, key_col, text_col), "sketches")
     classes = rows.groupBy("class_hash").agg(F.min(F.struct("key", "signature", "anchors")).alias("c"))
-    members = rows.select("key", F.min("key").over(Window.partitionBy("class_hash")).alias("class"))
+    # copies are pre-aggregated; the join back splits a class that a third of the rows share
+    members = rows.select("class_hash", "key").join(rows.groupBy("class_hash").agg(F.min("key").alias("class")), "class_hash").select("key", "class")
     pairs = written(colliding(classes.select("c.*")), "colliding")
     texts = df.select(F.col(key_col).alias("k"), F.col(text_col).alias("t"))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()

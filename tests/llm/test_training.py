@@ -56,11 +56,23 @@ def test_near_pairs_equal_brute_force(spark):
     assert want and got == want
 
 
-def test_hot_anchors_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "HOT", 1)
+def test_long_runs_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HELD", 3)
     base = [f"w{i}" for i in range(60)]
-    rows = [(k, " ".join([*base, f"x{k}"])) for k in range(12)]
-    assert neardup.near_pairs(spark.createDataFrame(rows, "chunk_no long, text string")).count() == 66
+    rows = [(k, " ".join([*base, f"x{k}"])) for k in range(12)] + [(100 + k, " ".join(random.choices(base, k=30))) for k in range(30)]
+    got = {tuple(r) for r in neardup.near_pairs(spark.createDataFrame(rows, "chunk_no long, text string")).collect()}
+    assert got == {(a, b) for a in range(12) for b in range(a + 1, 12)}
+
+
+def test_variants_meet_within_the_radius():
+    rng = np.random.default_rng(1)
+    code = rng.integers(0, 1 << neardup.BITS, 300)
+    group = rng.integers(0, 3, 300)
+    i, j = neardup.meeting(group, code, np.zeros(300, np.int64))
+    want = {(a, b) for a in range(300) for b in range(a + 1, 300) if group[a] == group[b] and bin(code[a] ^ code[b]).count("1") <= neardup.RADIUS}
+    assert set(zip(i.tolist(), j.tolist())) == want
+    alone = neardup.meeting(group, code, np.zeros(300, np.int64), neardup._CHANGES[:1])  # no ball: equal codes only
+    assert len(alone[0]) < len(want) / 10
 
 
 def test_nearest_equal_brute_force(spark):
