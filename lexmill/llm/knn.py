@@ -1,17 +1,18 @@
 """Problem 5: the k most similar vectors of every vector (or of a stated query set), by cosine.
 
 Method: shifted space-filling curves. Vectors are projected to ``DIMS`` dimensions by ``ORDERS`` random
-orthogonal projections, each with its own shift, and put on a Hilbert curve. Every ordering is
-range-partitioned by curve key; a vector's candidates are its ``WINDOW`` neighbours on both sides in each
-ordering (rows at partition edges meet their neighbours of the next partition in a small second
-step). Candidates are reranked by exact cosine behind the same shuffle and the orderings' best k merged.
+orthogonal projections, each with its own shift, and put on a Hilbert curve. Every ordering is cut into key ranges of about
+``BLOCK`` vectors, at quantiles of a bounded sample of keys (``SAMPLE`` vectors; every vector is indexed). Vectors are shuffled once to their ranges; a
+query goes to its own range and to the neighbouring ranges that its window of ``WINDOW`` keys on each side touches, is reranked
+there by exact cosine, and the best of all orderings and ranges are merged. A task holds one range and its queries, whatever the collection's size.
 
 Loss, measured against brute force (see README): vectors with close neighbours (mean cosine 0.97) lose under 0.01 of their 10
 nearest at a window of 2,048 among 244,000. Vectors without close neighbours (mean cosine 0.55) need a window in proportion
 to the collection, as no ordering brings them together: ``share`` 1/16 keeps over 0.9.
 
 Null and all-zero vectors, vectors of another length or with null elements take no part.
-Ties of the cosine are broken by the smaller key; rows with equal vectors are neighbours of each other. Keys must be unique.
+Ties of the cosine are broken by the smaller key; rows with equal vectors are neighbours of each other, and their places on the
+curve are spread by a hash of the key, so a vector that a third of the rows share fills many ranges. Keys must be unique.
 """
 
 from __future__ import annotations
@@ -20,16 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import written
-
 K, ORDERS, DIMS, LEVELS, WINDOW = 10, 8, 6, 8, 2048
-#: Rows of a range partition, about; far above WINDOW.
-PART_ROWS = 60_000
+#: Vectors of a key range, about; vectors whose keys set the ranges' bounds; queries of one product.
+BLOCK, SAMPLE, STEP = 4096, 100_000, 512
+#: Places of equal curve keys are spread over so many bits of a hash.
+SPREAD = 63 - DIMS * LEVELS
 
 
 def hilbert_keys(cells: np.ndarray, levels: int) -> np.ndarray:
@@ -84,30 +84,37 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
-def _best(key: np.ndarray, unit: np.ndarray, ask: np.ndarray, k: int, window: int, left: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, near, cosine): the best k in the window of every asking row; with ``left`` (rows of the left side of an edge) only across it."""
-    n, out = len(key), []
-    rows = np.flatnonzero(ask)
-    step = 128
-    at = 0
-    while at < len(rows):
-        block = rows[at : at + step]
-        block = block[block < block[0] + 2 * window + step]  # rows near each other share one product
-        at += len(block)
-        lo, hi = max(block[0] - window, 0), min(block[-1] + window + 1, n)
-        cos = unit[block] @ unit[lo:hi].T
-        away = np.abs(np.arange(lo, hi)[None, :] - block[:, None])
-        bad = (away > window) | (away == 0)
-        if left is not None:
-            bad |= (np.arange(lo, hi)[None, :] < left) == (block[:, None] < left)
-        cos[bad] = -2
-        take = min(k, hi - lo)
-        top = np.argpartition(-cos, take - 1, axis=1)[:, :take]
-        value = np.take_along_axis(cos, top, 1)
-        ok = value > -2
-        out.append((np.repeat(key[block], take).reshape(value.shape)[ok], key[lo:hi][top][ok], value[ok]))
+def places(unit: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Place of every vector in every ordering: its curve key, then a hash of its own key."""
+    h = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (curve_keys(unit) << SPREAD) | (h >> np.uint64(64 - SPREAD)).astype(np.int64)[:, None]
+
+
+def _packed(vec: np.ndarray) -> pa.Array:
+    size = vec.dtype.itemsize * vec.shape[1]
+    return pa.Array.from_buffers(pa.binary(size), len(vec), [None, pa.py_buffer(np.ascontiguousarray(vec))]).cast(pa.binary())
+
+
+def _top(query: np.ndarray, asked: np.ndarray, key: np.ndarray, unit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, near, cosine): the best k other vectors of every query, ties by the smaller key."""
+    out = []
+    order = np.argsort(key, kind="stable")
+    key, unit = key[order], unit[order]
+    for at in range(0, len(query), STEP):
+        ids = query[at : at + STEP]
+        cos = asked[at : at + STEP] @ unit.T
+        cos[ids[:, None] == key[None, :]] = -2
+        take = min(k, len(key))
+        floor = np.partition(cos, len(key) - take, axis=1)[:, len(key) - take]
+        i, j = np.nonzero((cos >= floor[:, None]) & (cos > -2))
+        rank = np.lexsort((j, -cos[i, j], i))
+        i, j = i[rank], j[rank]
+        first = np.searchsorted(i, np.arange(len(ids)))
+        keep = np.arange(len(i)) - first[i] < take
+        i, j = i[keep], j[keep]
+        out.append((ids[i], key[j], cos[i, j]))
     if not out:
-        return np.zeros(0, key.dtype), np.zeros(0, key.dtype), np.zeros(0, np.float32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
     return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
 
 
@@ -119,72 +126,62 @@ def nearest(df: DataFrame, asked: DataFrame | None = None, key_col: str = "chunk
     key_type = df.schema[key_col].dataType
     if not isinstance(key_type, (T.LongType, T.IntegerType)):
         raise TypeError("keys must be integers")
-    small = isinstance(df.schema[vec_col].dataType.elementType, T.ByteType)
-    raw = np.int8 if small else np.float32
+    raw = np.int8 if isinstance(df.schema[vec_col].dataType.elementType, T.ByteType) else np.float32
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            vec = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(raw).reshape(-1, dim)
-            some = (vec != 0).any(1) & np.isfinite(vec).all(1)
-            vec, key, ask = vec[some], b.column(0).filter(pa.array(some)), b.column(2).filter(pa.array(some))
-            keys = curve_keys(_unit(vec)) if len(vec) else np.zeros((0, ORDERS), np.int64)
-            size = vec.dtype.itemsize * dim
-            packed = pa.Array.from_buffers(pa.binary(size), len(vec), [None, pa.py_buffer(np.ascontiguousarray(vec))]).cast(pa.binary())
-            for o in range(ORDERS):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vec), o, np.int32)), pa.array(keys[:, o]), key, ask, packed], ["curve", "at", "key", "ask", "vec"])
+    def read(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Vectors, keys and whether asked, of the rows that take part."""
+        vec = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(raw).reshape(-1, dim)
+        some = (vec != 0).any(1) & np.isfinite(vec).all(1)
+        return vec[some], b.column(0).to_numpy()[some], b.column(2).filter(pa.array(some))
 
     vec = F.col(vec_col)
     rows = df.where(F.col(key_col).isNotNull() & (F.size(vec) == dim) & ~F.coalesce(F.array_contains(F.transform(vec, lambda x: x.isNull()), True), F.lit(False)))
     rows = rows.select(F.col(key_col).cast("long").alias("key"), vec.alias("vec"))
+    total = rows.count()
+    window = max(window, int(total * share))
+    blocks = max(1, round(total / BLOCK))
+    reach = -(-window // BLOCK)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, key, _ = read(b)
+            at = places(_unit(v), key) if len(v) else np.zeros((0, ORDERS), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at[:, o]) for o in range(ORDERS)], [f"c{o}" for o in range(ORDERS)])
+
+    # the bounds of the ranges: a bounded sample of places, so their number is bounded by SAMPLE too
+    part = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(total, 1))))
+    sampled = part.withColumn("ask", F.lit(False)).select("key", "vec", "ask").mapInArrow(keyed, ", ".join(f"c{o} long" for o in range(ORDERS))).toPandas()
+    cuts = [np.unique(np.sort(sampled[f"c{o}"].to_numpy())[(np.arange(1, blocks) * len(sampled) // blocks)]) if len(sampled) else np.zeros(0, np.int64) for o in range(ORDERS)]
+    bounds = df.sparkSession.sparkContext.broadcast(cuts)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, key, ask = read(b)
+            at = places(_unit(v), key) if len(v) else np.zeros((0, ORDERS), np.int64)
+            packed = _packed(v)
+            for o in range(ORDERS):
+                block = np.searchsorted(bounds.value[o], at[:, o], side="right")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), o, np.int32)), pa.array(block.astype(np.int32)), pa.array(key), ask, packed], ["curve", "block", "key", "ask", "vec"])
+
+    schema = "curve int, block int, key long, ask boolean, vec binary"
     if asked is None:
         rows = rows.withColumn("ask", F.lit(True))
     else:
         keys = asked.select(F.col(asked.columns[0]).cast("long").alias("key")).where("key is not null").distinct().withColumn("ask", F.lit(True))
         rows = rows.join(keys, "key", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
-    placed = written(rows.select("key", "vec", "ask").mapInArrow(place, "curve int, at long, key long, ask boolean, vec binary"), "curves")
-    total = placed.count()
-    window = max(window, int(total / ORDERS * share))
-    parts = max(1, total // max(PART_ROWS, 2 * window))
-    ordered = placed.repartitionByRange(parts, "curve", "at", "key").sortWithinPartitions("curve", "at", "key")
-    schema = "query long, near long, cosine double, edge int, side int, pos int, curve int, key long, ask boolean, vec binary"
-
-    def result(q: np.ndarray, near: np.ndarray, cos: np.ndarray) -> pa.RecordBatch:
-        n = len(q)
-        none = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())]
-        return pa.RecordBatch.from_arrays([pa.array(q), pa.array(near), pa.array(cos.astype(np.float64)), *none], ["query", "near", "cosine", "edge", "side", "pos", "curve", "key", "ask", "vec"])
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        all_rows = list(batches)
-        if not all_rows:
-            return
-        t = pa.Table.from_batches(all_rows)
-        del all_rows
-        curve, key, ask = t["curve"].to_numpy(), t["key"].to_numpy(), t["ask"].to_numpy()
-        packed = t["vec"].combine_chunks()
-        unit = _unit(np.frombuffer(b"".join(packed.to_pylist()), raw).reshape(-1, dim))
-        cuts = [0, *(np.flatnonzero(np.diff(curve)) + 1).tolist(), len(curve)]
-        for a, b in zip(cuts, cuts[1:]):
-            yield result(*_best(key[a:b], unit[a:b], ask[a:b], k, window))
-        for edge, side, chosen in ((part - 1, 1, slice(cuts[0], min(cuts[1], window))), (part, 0, slice(max(cuts[-2], len(curve) - window), len(curve)))):
-            s = t.slice(chosen.start, chosen.stop - chosen.start)
-            n = s.num_rows
-            empty = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64())]
-            cols = [*empty, pa.array(np.full(n, edge, np.int32)), pa.array(np.full(n, side, np.int32)), pa.array(np.arange(n, dtype=np.int32))]
-            cols += [s[c].combine_chunks() for c in ("curve", "key", "ask", "vec")]
-            yield pa.RecordBatch.from_arrays(cols, ["query", "near", "cosine", "edge", "side", "pos", "curve", "key", "ask", "vec"])
-
-    seen = written(ordered.mapInArrow(windows, schema), "windows")
-
-    def across(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("side", "ascending"), ("pos", "ascending")])
-        left = int((table["side"].to_numpy() == 0).sum())
-        unit = _unit(np.frombuffer(b"".join(table["vec"].to_pylist()), raw).reshape(-1, dim))
-        q, near, cos = _best(table["key"].to_numpy(), unit, table["ask"].to_numpy(), k, window, left)
+    placed = rows.select("key", "vec", "ask").mapInArrow(place, schema)
+    queries = rows.where("ask").select("key", "vec", "ask").mapInArrow(place, schema)
+    ends = F.least(F.col("block") + reach, F.element_at(F.array(*(F.lit(len(c)) for c in cuts)), F.col("curve") + 1))
+    queries = queries.withColumn("block", F.explode(F.sequence(F.greatest(F.col("block") - reach, F.lit(0)), ends)))
+
+    def search(asking: pa.Table, held: pa.Table) -> pa.Table:
+        if not asking.num_rows or not held.num_rows:
+            return pa.table({"query": pa.array([], pa.int64()), "near": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+        unit = lambda t: _unit(np.frombuffer(b"".join(t["vec"].to_pylist()), raw).reshape(-1, dim))
+        q, near, cos = _top(asking["key"].to_numpy(), unit(asking), held["key"].to_numpy(), unit(held), k)
         return pa.table({"query": q, "near": near, "cosine": cos.astype(np.float64)})
 
-    edges = seen.where("edge is not null").select("edge", "curve", "side", "pos", "key", "ask", "vec")
-    met = edges.groupBy("edge", "curve").applyInArrow(across, "query long, near long, cosine double")
-    best = seen.where("edge is null").select("query", "near", "cosine").unionByName(met).groupBy("query", "near").agg(F.max("cosine").alias("cosine"))
+    found = queries.groupBy("curve", "block").cogroup(placed.groupBy("curve", "block")).applyInArrow(search, "query long, near long, cosine double")
+    best = found.groupBy("query", "near").agg(F.max("cosine").alias("cosine"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "near"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)

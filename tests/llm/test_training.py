@@ -89,6 +89,17 @@ def test_nearest_equal_brute_force(spark):
     assert len(got & want) >= 0.95 * len(want)
 
 
+def test_nearest_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 20)
+    rows = [(i, [1, 2] + [0] * 62) for i in range(200)] + [(1000 + i, [3, i - 50] + [1] * 62) for i in range(100)]
+    df = spark.createDataFrame(rows, "chunk_no long, vec array<byte>")
+    got = knn.nearest(df, window=40).collect()
+    assert {r.query for r in got} == {k for k, _ in rows} and max(r.rank for r in got) == 10
+    by = {q: [r.near for r in sorted((r for r in got if r.query == q), key=lambda r: r["rank"])] for q in (0, 150)}
+    assert all(len(set(v)) == 10 and q not in v and max(v) < 200 for q, v in by.items())  # a vector shared by most rows fills many ranges
+    assert knn.nearest(df.limit(0)).count() == 0 and knn.nearest(df.limit(1)).count() == 0
+
+
 def test_hilbert_curve_is_a_walk():
     cells = np.array([(x, y) for x in range(16) for y in range(16)])
     order = cells[np.argsort(knn.hilbert_keys(cells, 4))]
