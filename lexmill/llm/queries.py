@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +72,15 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_pieces(table(spark, d, "chunks"), "chunk_no", "text", ("heading",))
 
 
+def p6_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every act as a file of the shared folder, cut by byte ranges."""
+    acts = table(spark, d, "acts").where("name is not null").groupBy("name").agg(F.max(F.array_join(F.transform("sections", lambda s: s.text), "\n")).alias("text"))
+    stored = splitting.write_files(acts, "name", "text", f"acts-{uuid.uuid4().hex}").collect()  # the acts' names, a fixed list
+    pieces = splitting.split_files(spark, [r.path for r in stored], range_size=1 << 12)
+    names = spark.createDataFrame([(r.path, r.name) for r in stored], "path string, name string")
+    return pieces.join(F.broadcast(names), "path").select("name", "piece_no", "piece_start", F.col("piece").cast("string").alias("piece"), "cut")
+
+
 def _personal(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, str, str]]:
     """(src, table, key, text) of the texts with personal data."""
     return [("messages", table(spark, d, "messages"), "msg_no", "content"), ("extracted_pages", table(spark, d, "extracted_pages"), "page_no", "text"), ("input_verdicts", table(spark, d, "input_verdicts"), "msg_no", "sanitised")]

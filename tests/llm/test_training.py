@@ -120,16 +120,29 @@ def test_pieces_rebuild_texts(spark):
     assert cuts == {3: "forced", 4: "natural", 5: "natural"}
 
 
-def test_giant_file(spark, tmp_path):
-    raw = ("An é sentence; " * 5000 + "é" * 3000).encode()
+def test_giant_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(splitting, "FAN", 3)
+    text = "An é sentence; " * 5000 + "é" * 3000 + "x\n" * 900
+    raw = text.encode()
     (tmp_path / "f.txt").write_bytes(raw)
     out = b""
-    for r in splitting.split_files(spark, [str(tmp_path / "f.txt")], range_size=7000).orderBy("piece_no").collect():
-        assert len(r.piece) <= 1200 and r.piece_start <= len(out)
-        r.piece.decode()
-        out = out[: r.piece_start] + bytes(r.piece)
-    assert out == raw
-
+    (tmp_path / "short.txt").write_bytes(b"short")
+    (tmp_path / "empty.txt").write_bytes(b"")
+    got = splitting.split_files(spark, [str(tmp_path / f) for f in ("f.txt", "short.txt", "empty.txt")], range_size=3001).orderBy("path", "piece_no").collect()
+    assert [bytes(r.piece) for r in got if "short" in r.path] == [b"short"] and not [r for r in got if "empty" in r.path]
+    mine = [(r.piece_start, r.piece_start + len(bytes(r.piece).decode()), r.cut) for r in got if r.path.endswith("/f.txt")]
+    assert mine == splitting.text_pieces(text) == splitting.text_pieces(text, size=997)  # the same pieces whatever the ranges
+    assert b"".join(bytes(r.piece)[: len(text[a : mine[k + 1][0] if k + 1 < len(mine) else b].encode())] for k, (r, (a, b, _)) in enumerate(zip([r for r in got if r.path.endswith("/f.txt")], mine))) == raw
+    assert [r.piece_no for r in got if r.path.endswith("/f.txt")] == list(range(len(mine)))
+    assert splitting.split_files(spark, [str(tmp_path / "empty.txt")]).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 7, 1199, 5000])
+def test_stretches_by_ranges(size):
+    for text in ("", "a. b", "é" * 3000, "x. " * 900, "a\n" * 700 + "ü" * 1300 + ". end", "." + " " * 2500):
+        at = [m.start() for m in __import__("re").finditer(r"\n|(?<=[.;:?!]) ", text)]
+        want = max([b - a - 1 for a, b in zip([-1, *at], [*at, len(text)])])
+        assert splitting.longest_stretch(text, size=size) == want
 
 def test_mixture_shares(spark):
     docs = [(i, "big" if i % 3 else "small", "word " * 20) for i in range(900)] + [(2000, None, "x"), (2001, "small", None), (2002, "other", "x y")]
