@@ -1,14 +1,19 @@
 """Problem 7: personal data inside free text, found and replaced by typed placeholders.
 
 Method: a skip-chain conditional random field. Text near a sign of personal data is cut into tokens (numbers,
-identity numbers and mail addresses are one token each). Token shapes, word lists and cues beside a token give the node
-potentials, neighbouring labels the chain potentials, and repeated tokens of one text (case aside) share skip
-potentials. Marginals come from loopy message passing: exact forward-backward sweeps along the chains alternate with
-messages along the skip links, batched over the texts of a block (``SWEEPS`` - 1 rounds of messages). Maximal runs of a label are the items.
-
-The potentials are set by hand (no labelled rows exist here). Signs are searched in whole texts; text without any sign
-near it has no item. Null and empty texts have none; numbers needn't pass check digits; placeholders of an
-earlier masker are no items. A text's links join each occurrence to the next, so a token repeated n times has n - 1 links.
+identity numbers and mail addresses are one token each), and so is the text around every other place of the whole text where a name found there, or a
+spelling one letter from it, stands again. Token shapes, word lists and cues beside a token are the features of the node
+potentials, neighbouring labels have the chain potentials, and repeated tokens of one text (case aside) and similar name tokens share skip
+potentials, however far apart. Marginals come from loopy message passing until the messages settle: exact forward-backward sweeps along the chains
+alternate with damped messages along the skip links, batched over the texts of a block.
+
+The weights are fitted here (``fit``): the placeholders that an earlier masker left in stored verdicts label the tokens they stand for; other words there are a
+name, an address or other, other numbers may be anything (it left data behind): those labels stay latent, and up to ``SAMPLE`` such rows are made as likely as possible under a normal prior (deviation ``DEVIATION``) round the weights in ``FEATURES``,
+``CHAIN`` and ``SKIP``. Without such rows those weights hold.
+
+Signs are searched in whole texts; a token that is neither near a sign nor a repeat has no feature of personal data, so its label is other. Null and empty texts
+have no item; numbers needn't pass check digits; placeholders of an earlier masker are no items. A text's links join each occurrence to the nearest before it that has
+evidence of a name (to the first that has where none is before it), else to the one before: a token repeated n times has n - 1 links.
 """
 
 from __future__ import annotations
@@ -28,7 +33,10 @@ from pyspark.sql import types as T
 LABELS = ("other", "name", "address", "phone", "identity", "account", "email")
 O, N, A, P, I, C, E = range(7)
 MARKS = {N: "[NAME]", A: "[ADDRESS]", P: "[PHONE]", I: "[IDENTITY]", C: "[ACCOUNT]", E: "[EMAIL]"}
-REACH, SWEEPS, SKIP = 170, 2, 1.5
+#: Characters round a sign and round a repeat of a name that are cut into tokens; rounds of messages at most, and when they have settled.
+REACH, AROUND, ROUNDS, SETTLED, DAMPING = 170, 60, 40, 1e-3, 0.5
+#: Rows the weights are fitted on at most, steps and width of the prior.
+SAMPLE, STEPS, DEVIATION = 400, 8, 0.5
 
 # Word lists (fixed values).
 TITLES = frozenset("mr mrs ms miss dr shri sri smt kumari kum adv prof श्री श्रीमती कुमारी डॉ".split())
@@ -96,47 +104,81 @@ _TOKEN = regex.compile(
     r"|(?P<gap>\n[ ]*\n)"
     r"|(?P<other>\S)"
 )
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _DIGITS = str.maketrans("०१२३४५६७८९০১২৩৪৫৬৭৮৯௦௧௨௩௪௫௬௭௮௯", "0123456789" * 3)
 
-# Chain potentials: row label, then column label.
-_CHAIN = np.full((7, 7), -1.5)
-_CHAIN[O, O] = 0.5
-for _k in range(1, 7):
-    _CHAIN[_k, O] = 0.0
-    _CHAIN[O, _k] = -0.5
-_CHAIN[N, N], _CHAIN[A, A], _CHAIN[N, A], _CHAIN[A, N] = 1.0, 2.0, -1.0, -2.0
-for _k in (P, I, C, E):
-    _CHAIN[_k, _k] = -2.0
-
-
-def number_kind(raw: str, cues: np.ndarray) -> np.ndarray:
-    """Node potentials of a number by its digits, grouping and the cues before it."""
+#: Features of the node potentials with their prior weights by label.
+FEATURES = {
+    "mail": {E: 6}, "ident": {I: 6}, "mark": {O: 5}, "comma": {O: 0.5, A: 0.8}, "sign": {O: 6}, "house": {A: 4},
+    "mobile": {P: 5}, "landline": {P: 5}, "twelve": {I: 4, C: 2.5}, "grouped": {I: 2}, "long": {C: 5}, "number": {O: 3}, "small": {A: 2.5},
+    "cue phone": {P: 1}, "cue identity": {I: 2.5}, "cue account": {C: 3}, "behind house": {A: 4},
+    "house word": {A: 4}, "road word": {A: 3}, "pin": {A: 3}, "stop word": {O: 8}, "capital": {A: 0.6, N: 0.3}, "plain": {O: 4},
+    "road": {A: 2}, "address part": {A: 3}, "address capital": {A: 1.5}, "address near": {A: 5}, "address comma": {A: 1.2},
+    "title": {N: 4}, "name run": {N: 5}, "name before": {N: 5},
+}
+_AT = {name: k for k, name in enumerate(FEATURES)}
+_CUE_NAMES = {P: "cue phone", I: "cue identity", C: "cue account"}
+
+
+class Model:
+    """Weights: node (features x labels), chain (label, next label) and skip (of equal labels at the ends of a link)."""
+
+    __slots__ = ("chain", "node", "skip")
+
+    def __init__(self, node: np.ndarray, chain: np.ndarray, skip: float) -> None:
+        self.node, self.chain, self.skip = node, chain, skip
+
+
+def prior() -> Model:
+    """The weights that hold before any row is seen."""
+    node = np.zeros((len(FEATURES), 7))
+    for name, by in FEATURES.items():
+        for lab, w in by.items():
+            node[_AT[name], lab] = w
+    chain = np.full((7, 7), -1.5)
+    chain[O, O] = 0.5
+    for k in range(1, 7):
+        chain[k, O], chain[O, k] = 0.0, -0.5
+    chain[N, N], chain[A, A], chain[N, A], chain[A, N] = 1.0, 2.0, -1.0, -2.0
+    for k in (P, I, C, E):
+        chain[k, k] = -2.0
+    return Model(node, chain, 2.5)
+
+
+def number_features(raw: str, cue: int | None) -> list[str]:
+    """Features of a number by its digits, grouping and the last cue before it."""
     d = "".join(c for c in raw.translate(_DIGITS) if c.isdigit())
-    n, v = len(d), np.zeros(7)
+    n = len(d)
     plus = raw.lstrip("(").startswith("+") or d.startswith("0091") and n == 14
     if plus and n in (12, 14) and d[n - 10] in "6789" or n == 10 and d[0] in "6789" or n == 11 and d[0] == "0" and d[1] in "6789":
-        v[P] += 5
+        out = ["mobile"]
     elif raw.startswith("(0") and n in (10, 11) or n in (10, 11) and re.match(r"0\d{2,4}[- ]\d{4}[- ]?\d{3,4}$", raw):
-        v[P] += 5
+        out = ["landline"]
     elif n == 12:
-        v[I] += 4 + (2 if re.fullmatch(r"\d{4}[ .\n-]\d{4}[ .\n-]\d{4}", raw.translate(_DIGITS)) else 0)
-        v[C] += 2.5
+        out = ["twelve", "grouped"] if re.fullmatch(r"\d{4}[ .\n-]\d{4}[ .\n-]\d{4}", raw.translate(_DIGITS)) else ["twelve"]
     elif n == 11 or 13 <= n <= 18:
-        v[C] += 5
+        out = ["long"]
     else:
-        v[O] += 3
-        v[A] += 2.5 if n <= 6 else 0
-        return v
-    v[P] += 1.0 * cues[P]
-    v[I] += 2.5 * cues[I]
-    v[C] += 3.0 * cues[C]
-    return v
+        return ["number", "small"] if n <= 6 else ["number"]
+    return out if cue is None else [*out, _CUE_NAMES[cue]]
+
+
+def alike(a: str, b: str) -> bool:
+    """Whether two lower-case words are the same or, from five letters on, one letter apart."""
+    if a == b:
+        return True
+    if min(len(a), len(b)) < 5 or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[k + (len(a) == len(b)) :] == b[k + 1 :]
 
 
 class _Doc:
     """The tokens of a text near signs of personal data."""
 
-    __slots__ = ("after", "chain", "cued", "kinds", "spans", "text", "tokens", "unary")
+    __slots__ = ("after", "chain", "cued", "features", "kinds", "links", "named", "places", "spans", "text", "tokens")
 
     def __init__(self, text: str, found: list[tuple[int, int]]) -> None:
         self.text = text
@@ -147,12 +189,29 @@ class _Doc:
                 spans[-1][1] = b
             else:
                 spans.append([a, b])
+        self._read(spans)
+        more = self._repeats(spans)
+        if more:  # a name stands again away from all signs: that text is read too
+            merged: list[list[int]] = []
+            for a, b in sorted([*map(list, spans), *more]):
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], b)
+                else:
+                    merged.append([a, b])
+            self._read(merged)
+        self.links = self._links()
+
+    def _read(self, spans: list[list[int]]) -> None:
+        text = self.text
         self.tokens: list[str] = []
         self.kinds: list[str] = []
         self.spans: list[tuple[int, int]] = []
         self.chain: list[int] = []  # 1 where a new chain begins
         self.cued: set[int] = set()  # places behind a cue for a name
         self.after: set[int] = set()  # places before one
+        self.places: list[int] = []  # token of each feature
+        self.features: list[int] = []
+        self.named: set[int] = set()  # tokens with evidence of a name
         for a, b in spans:
             while a > 0 and not text[a - 1].isspace():
                 a -= 1
@@ -171,57 +230,101 @@ class _Doc:
                 self.spans.append(m.span())
                 self.chain.append(first)
                 first = 0
-        self.unary = self._potentials()
-
-    def _potentials(self) -> np.ndarray:
+        self._evidence()
+
+    def _add(self, k: int, name: str) -> None:
+        self.places.append(k)
+        self.features.append(_AT[name])
+
+    def _name_words(self) -> list[str]:
+        """The words of names, in lower case."""
+        low = {self.tokens[k].lower() for k in self.named if self.kinds[k] == "word" and len(self.tokens[k]) > 3}
+        return sorted(w for w in low if w not in STOP and w not in ROLES and w not in TITLES)
+
+    def _repeats(self, spans: list[list[int]]) -> list[list[int]]:
+        """Spans round the places outside all spans where a name's word, or one like it, stands again."""
+        out: list[list[int]] = []
+        for w in self._name_words():
+            for head in {w[:4], w[:4].capitalize(), w[:4].upper()}:
+                at = self.text.find(head)
+                while at >= 0:
+                    if not any(a <= at < b for a, b in spans) and not self.text[at - 1 : at].isalpha():
+                        m = _WORD.match(self.text, at)
+                        if m and alike(m.group().lower(), w):
+                            out.append([max(at - AROUND, 0), min(m.end() + AROUND, len(self.text))])
+                    at = self.text.find(head, at + 1)
+        return out
+
+    def _links(self) -> list[tuple[int, int]]:
+        """Links of repeated numbers, mail addresses and names' words (or words like them): to the occurrence before, or to one with evidence of a name."""
+        names = self._name_words()
+        groups: dict[str, list[int]] = {}
+        for k, (t, kind) in enumerate(zip(self.tokens, self.kinds)):
+            if len(t) < 4:
+                continue
+            if kind in ("num", "ident", "mail"):
+                w = "".join(t.lower().split())
+            elif kind == "word" and names:
+                low = t.lower()
+                w = low if low in names else next((x for x in names if x[0] == low[0] and alike(low, x)), "")
+            else:
+                continue
+            if w:
+                groups.setdefault(w, []).append(k)
+        out = []
+        for at in groups.values():
+            hub = next((k for k in at if k in self.named), at[0])
+            for k in at:
+                if k != hub and abs(k - hub) > 1:
+                    out.append((min(hub, k), max(hub, k)))
+                if k in self.named or hub not in self.named:
+                    hub = k  # the nearest before with evidence, else the nearest
+        return out
+
+    def _evidence(self) -> None:
         n = len(self.tokens)
-        u = np.zeros((n, 7))
+        add = self._add
         low = [t.lower().replace("\n", "") for t in self.tokens]
         for k in range(n):
             kind, t = self.kinds[k], self.tokens[k]
             if kind == "mail":
-                u[k, E] += 6
+                add(k, "mail")
             elif kind == "ident":
-                u[k, I] += 6
+                add(k, "ident")
             elif kind == "num":
                 before = self.text[max(self.spans[k][0] - 60, 0) : self.spans[k][0]]
                 last = {c: max((m.end() for m in p.finditer(before)), default=-1) for c, p in _CUES.items()}
-                cues = np.zeros(7)
-                if max(last.values()) >= 0:
-                    cues[max(last, key=last.get)] = 1
-                u[k] += number_kind(t, cues)
+                for name in number_features(t, max(last, key=last.get) if max(last.values()) >= 0 else None):
+                    add(k, name)
                 if k and (low[k - 1].rstrip(".") in HOUSE or self.kinds[k - 1] == "house" or low[k - 1] == "pin"):
-                    u[k, A] += 4
+                    add(k, "behind house")
             elif kind == "house":
-                u[k, A] += 4
+                add(k, "house")
             elif kind == "word":
                 w = low[k]
                 if w in HOUSE and k + 1 < n and self.kinds[k + 1] == "num":
-                    u[k, A] += 4
+                    add(k, "house word")
                 elif w in ROADS and t[:1].isupper():
-                    u[k, A] += 3
+                    add(k, "road word")
                 elif w == "pin" or w in ("near",) and k and self.tokens[k - 1] == ",":
-                    u[k, A] += 3
+                    add(k, "pin")
                 elif w in STOP:
-                    u[k, O] += 8
+                    add(k, "stop word")
                 elif t[:1].isupper() and w not in ROLES and w not in TITLES:
-                    u[k, A] += 0.6
-                    u[k, N] += 0.3
+                    add(k, "capital")
                 else:
-                    u[k, O] += 4
+                    add(k, "plain")
             elif kind in ("money", "mark"):
-                u[k, O] += 5
+                add(k, "mark")
             elif kind == "other":
                 if t in ",-":
-                    u[k, O] += 0.5
-                    u[k, A] += 0.8
+                    add(k, "comma")
                 else:
-                    u[k, O] += 6
-        self._addresses(u, low)
-        self._names(u, low)
-        return u
+                    add(k, "sign")
+        self._addresses(low)
+        self._names(low)
 
-    def _addresses(self, u: np.ndarray, low: list[str]) -> None:
+    def _addresses(self, low: list[str]) -> None:
         """Support for tokens between a house or road word and the town or PIN code behind it."""
         n = len(low)
         for k in range(n):
@@ -230,17 +333,17 @@ class _Doc:
             near = range(max(k - 8, 0), min(k + 9, n))
             if not any(self.kinds[j] == "num" or self.kinds[j] == "house" for j in near):
                 continue
-            u[k, A] += 2
+            self._add(k, "road")
             for step in (-1, 1):
                 j = k + step
                 while 0 <= j < n and abs(j - k) <= 9 and not (self.chain[max(j, j - step)] and step > 0 and self.chain[j]):
                     kind, t, w = self.kinds[j], self.tokens[j], low[j]
                     if kind == "num" and len(re.sub(r"\D", "", t)) <= 6 or kind == "house" or w in HOUSE or w in ROADS or w in ("pin", "near"):
-                        u[j, A] += 3
+                        self._add(j, "address part")
                     elif kind == "word" and w not in STOP and (t[:1].isupper() or low[k] == self.tokens[k] or self._beside_near(low, j)):
-                        u[j, A] += 1.5 if t[:1].isupper() else 5
+                        self._add(j, "address capital" if t[:1].isupper() else "address near")
                     elif t in ",-" and kind == "other":
-                        u[j, A] += 1.2
+                        self._add(j, "address comma")
                     else:
                         break
                     j += step
@@ -249,7 +352,7 @@ class _Doc:
     def _beside_near(low: list[str], j: int) -> bool:
         return "near" in low[max(j - 2, 0) : j]
 
-    def _names(self, u: np.ndarray, low: list[str]) -> None:
+    def _names(self, low: list[str]) -> None:
         """Support for name-shaped runs behind or before a cue, or with a title."""
         n = len(low)
 
@@ -269,10 +372,10 @@ class _Doc:
             if title or cue:
                 j = k
                 if title:
-                    u[k, N] += 4
+                    self._add(k, "title")
                     j += 1
                     if j < n and self.tokens[j] == ".":
-                        u[j, N] += 4
+                        self._add(j, "title")
                         j += 1
                 elif low[k] in ROLES and not (k + 1 < n and shaped(k + 1, False)):
                     k += 1
@@ -297,12 +400,14 @@ class _Doc:
                     if cue and all(self.tokens[x][:1].islower() and self.tokens[x].isascii() for x in range(k, j)) and words < 2:
                         k += 1
                         continue
-                    u[k:j, N] += 5
+                    for x in range(k, j):
+                        self._add(x, "name run")
+                    self.named.update(range(k, j))
                     k = j
                     continue
             k += 1
         for k in range(n):  # a cue behind the run
-            if self.kinds[k] in ("word", "init") and self.spans[k][1] in self.after and u[k, N] < 4 and shaped(k, True):
+            if self.kinds[k] in ("word", "init") and self.spans[k][1] in self.after and k not in self.named and shaped(k, True):
                 if low[k] in ROLES:
                     continue
                 j = k
@@ -311,7 +416,9 @@ class _Doc:
                 if j == k and j >= 2 and self.tokens[j - 1] == "," and shaped(j - 2, False) and (j < 3 or self.tokens[j - 3] in ".?!\n" or self.chain[j - 2]):
                     j -= 2
                 if k - j >= 1:
-                    u[j : k + 1, N] += 5
+                    for x in range(j, k + 1):
+                        self._add(x, "name before")
+                    self.named.update(range(j, k + 1))
 
     def _single(self, j: int, low: list[str], shaped) -> bool:
         """Whether token j alone can be the given name behind a comma."""
@@ -326,60 +433,63 @@ class _Doc:
         return not (self.kinds[k] == "word" and (low[k] in ROADS or self.tokens[k][:1].isupper())) and self.kinds[k] != "num"
 
 
-def _marginals(docs: list[_Doc]) -> list[np.ndarray]:
-    """Label marginals of all tokens by loopy message passing."""
-    sizes = [len(d.tokens) for d in docs]
-    if not sum(sizes):
-        return [np.zeros((0, 7)) for _ in docs]
-    unary = np.concatenate([d.unary for d in docs if len(d.tokens)])
-    begin = np.concatenate([np.asarray(d.chain, bool) for d in docs if d.chain])
-    starts = np.flatnonzero(begin)
-    lengths = np.diff(np.append(starts, len(begin)))
-    # skip links: each token to its next occurrence in the text
-    a, b, base = [], [], 0
-    for d in docs:
-        last: dict[str, int] = {}
-        for k, (t, kind) in enumerate(zip(d.tokens, d.kinds)):
-            if kind in ("word", "num", "ident", "mail") and len(t) > 3:
-                w = t.lower()
-                if w not in STOP:
-                    if w in last and last[w] + 1 < k:
-                        a.append(base + last[w])
-                        b.append(base + k)
-                    last[w] = k
-        base += len(d.tokens)
-    a_, b_ = np.array(a, np.int64), np.array(b, np.int64)
-    into = np.zeros_like(unary)
-    same = np.exp(SKIP)
-    message = np.zeros((2, len(a_), 7))
-    order = np.argsort(lengths, kind="stable")
-    belief = unary
-    for sweep in range(SWEEPS if len(a_) else 1):
-        belief = _sweep(unary + into, starts, lengths, order)
-        if not len(a_) or sweep == SWEEPS - 1:
-            break
-        new = np.empty_like(message)
-        for side, (src, back) in enumerate(((a_, 1), (b_, 0))):
-            cavity = belief[src] - message[back]
-            cavity -= cavity.max(1, keepdims=True)
-            p = np.exp(cavity)
-            p /= p.sum(1, keepdims=True)
-            new[side] = np.log(1 + (same - 1) * p)
-        message = new
+class _Net:
+    """The tokens, chains and links of several texts."""
+
+    def __init__(self, docs: list[_Doc]) -> None:
+        self.sizes = [len(d.tokens) for d in docs]
+        base = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+        self.n = int(base[-1])
+        self.places = np.concatenate([np.asarray(d.places, np.int64) + x for d, x in zip(docs, base)]) if docs else np.zeros(0, np.int64)
+        self.features = np.concatenate([np.asarray(d.features, np.int64) for d in docs]) if docs else np.zeros(0, np.int64)
+        begin = np.concatenate([np.asarray(d.chain, bool) for d in docs]) if docs else np.zeros(0, bool)
+        self.starts = np.flatnonzero(begin)
+        self.lengths = np.diff(np.append(self.starts, len(begin)))
+        links = np.array([(a + x, b + x) for d, x in zip(docs, base) for a, b in d.links], np.int64).reshape(-1, 2)
+        self.a, self.b = links[:, 0], links[:, 1]
+        chain_of = np.cumsum(begin) - 1
+        self.linked = np.unique(chain_of[links.ravel()]) if len(links) else np.zeros(0, np.int64)
+
+    def unary(self, node: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.places, node[self.features, lab], self.n) for lab in range(7)], 1)
+
+
+def _shared(cavity: np.ndarray, same: float) -> np.ndarray:
+    """Message of one end of a link to the other."""
+    p = np.exp(cavity - cavity.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    return np.log(1 + (same - 1) * p)
+
+
+def beliefs(net: _Net, unary: np.ndarray, model: Model, pairs: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Log label beliefs of all tokens by loopy message passing, and the expected number of links of equal labels; pairs: takes the expected label pairs."""
+    order = np.argsort(net.lengths, kind="stable")
+    belief = np.zeros((net.n, 7))
+    _sweep(belief, unary, net.starts, net.lengths, order, model.chain, None if len(net.a) else pairs)
+    if not len(net.a):
+        return belief, 0.0
+    same, message = np.exp(model.skip), np.zeros((2, len(net.a), 7))
+    linked = net.linked[np.argsort(net.lengths[net.linked], kind="stable")]  # only their chains are swept again
+    for _ in range(ROUNDS):
+        new = np.stack([_shared(belief[net.a] - message[1], same), _shared(belief[net.b] - message[0], same)])
+        change = np.abs(new - message).max()
+        message = new if change < SETTLED else DAMPING * message + (1 - DAMPING) * new
         into = np.zeros_like(unary)
-        np.add.at(into, b_, message[0])
-        np.add.at(into, a_, message[1])
-    out, at = [], 0
-    for n in sizes:
-        out.append(belief[at : at + n])
-        at += n
-    return out
+        np.add.at(into, net.b, message[0])
+        np.add.at(into, net.a, message[1])
+        _sweep(belief, unary + into, net.starts, net.lengths, linked, model.chain, None)
+        if change < SETTLED:
+            break
+    if pairs is not None:
+        _sweep(belief, unary + into, net.starts, net.lengths, order, model.chain, pairs)
+    x, y = (np.exp(c - c.max(1, keepdims=True)) for c in (belief[net.a] - message[1], belief[net.b] - message[0]))
+    equal = same * (x * y).sum(1)
+    return belief, float((equal / (equal + x.sum(1) * y.sum(1) - (x * y).sum(1))).sum())
 
 
-def _sweep(unary: np.ndarray, starts: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Exact log beliefs (up to a constant a token) of all chains, in batches of like length."""
-    belief = np.empty_like(unary)
-    trans = np.exp(_CHAIN)
+def _sweep(belief: np.ndarray, unary: np.ndarray, starts: np.ndarray, lengths: np.ndarray, order: np.ndarray, chain: np.ndarray, pairs: np.ndarray | None) -> None:
+    """Exact log beliefs (up to a constant a token) of the chains in ``order``, in batches of like length."""
+    trans = np.exp(chain)
     for at in range(0, len(order), 1024):
         rows = order[at : at + 1024]
         size = int(lengths[rows].max())
@@ -398,21 +508,80 @@ def _sweep(unary: np.ndarray, starts: np.ndarray, lengths: np.ndarray, order: np
             x /= x.sum(1, keepdims=True)
             bwd[:, t] = np.where(ok[:, t + 1][:, None], x, 1.0)
         belief[pos[ok]] = np.log(fwd[ok] * bwd[ok] + 1e-30)
-    return belief
-
-
-def items(texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
+        if pairs is not None:
+            for t in range(1, size):
+                x = fwd[:, t - 1, :, None] * trans * (phi[:, t] * bwd[:, t])[:, None, :]
+                pairs += (x / x.sum((1, 2), keepdims=True))[ok[:, t]].sum(0)
+
+
+_MASKED = {"[EMAIL]": E, "[PHONE]": P, "[ACCOUNT]": C, "[AADHAAR]": I, "[PAN]": I}
+_PLACE = re.compile("|".join(map(re.escape, _MASKED)))
+
+
+def weak_labels(text: str, stored: str) -> list[tuple[int, int, int]]:
+    """(label, start, end) of what the placeholders of the stored text stand for; none if the texts don't match otherwise."""
+    kinds = [_MASKED[m] for m in _PLACE.findall(stored)]
+    m = re.fullmatch("(.+?)".join(map(re.escape, _PLACE.split(stored))), text, re.S) if kinds else None
+    return [(lab, *m.span(k)) for k, lab in enumerate(kinds, 1)] if m else []
+
+
+def fit(labelled: list[tuple[str, str]]) -> Model:
+    """Weights fitted to (text, the same text as an earlier masker stored it)."""
+    start, docs, known = prior(), [], []
+    for text, stored in labelled[:SAMPLE]:
+        spans = weak_labels(text, stored)
+        if spans:
+            d = _Doc(text, signs(text))
+            docs.append(d)
+            known.append([next((lab for lab, a, b in spans if x < b and a < y), -1 if kind in ("num", "ident", "mail") else -2) for (x, y), kind in zip(d.spans, d.kinds)])
+    if not sum(len(d.tokens) for d in docs):
+        return start
+    net = _Net(docs)
+    label = np.array([x for k in known for x in k], np.int64)
+    clamp = np.zeros((net.n, 7))
+    clamp[np.ix_(label == -2, [P, I, C, E])] = -40.0
+    clamp[label >= 0] = -40.0
+    clamp[np.flatnonzero(label >= 0), label[label >= 0]] = 0.0
+    now = Model(start.node.copy(), start.chain.copy(), start.skip)
+    size = [np.zeros_like(start.node), np.zeros_like(start.chain), 0.0]
+    for _ in range(STEPS):
+        unary, moved = net.unary(now.node), []
+        for extra in (clamp, 0.0):
+            pairs = np.zeros((7, 7))
+            belief, equal = beliefs(net, unary + extra, now, pairs)
+            p = np.exp(belief - belief.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            seen = np.stack([np.bincount(net.features, p[net.places, lab], len(FEATURES)) for lab in range(7)], 1)
+            moved.append((seen, pairs, equal))
+        for k, (name, first) in enumerate((("node", start.node), ("chain", start.chain), ("skip", start.skip))):
+            w = getattr(now, name)
+            slope = moved[0][k] - moved[1][k] - (w - first) / DEVIATION**2
+            size[k] = size[k] + slope**2
+            setattr(now, name, w + 0.2 * slope / np.sqrt(size[k] + 1e-9))
+    return now
+
+
+def fitted(texts: DataFrame, stored: DataFrame, key_col: str, text_col: str, stored_col: str) -> Model:
+    """Weights fitted to at most SAMPLE rows of stored texts with placeholders (those of the smallest hashes) and the texts they were made of."""
+    h = F.xxhash64("k")
+    marked = stored.select(F.col(key_col).alias("k"), F.col(stored_col).cast("string").alias("s")).where(F.col("k").isNotNull() & F.col("s").rlike(_PLACE.pattern))
+    chosen = marked.groupBy("k").agg(F.min("s").alias("s")).orderBy(h, "k").limit(SAMPLE)
+    whole = texts.select(F.col(key_col).alias("k"), F.col(text_col).cast("string").alias("t")).where("t is not null")
+    rows = whole.join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("t").alias("t"), F.min("s").alias("s")).orderBy(h, "k").collect()  # at most SAMPLE rows
+    return fit([(r.t, r.s) for r in rows])
+
+
+def items(texts: list[str | None], model: Model | None = None) -> list[list[tuple[int, int, int]]]:
     """(label, start, end) of the items of each text, in order."""
+    model = model or prior()
     docs = [_Doc(t, at) if t and (at := signs(t)) else None for t in texts]
-    real = [d for d in docs if d is not None]
-    found = iter(_marginals(real))
-    out = []
+    net = _Net([d for d in docs if d is not None])
+    label = beliefs(net, net.unary(model.node), model)[0].argmax(1).tolist() if net.n else []
+    out, at = [], 0
     for d in docs:
-        if d is None:
-            out.append([])
-            continue
-        label = next(found).argmax(1) if d.tokens else np.zeros(0, int)
-        out.append(_runs(d, label.tolist()))
+        n = len(d.tokens) if d is not None else 0
+        out.append(_runs(d, label[at : at + n]) if n else [])
+        at += n
     return out
 
 
@@ -447,7 +616,7 @@ def _runs(d: _Doc, label: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
-def counted(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
+def counted(df: DataFrame, key_col: str, text_col: str, model: Model | None = None) -> DataFrame:
     """(row_key, kind, nth): one row an item, numbered in each text by kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,7 +624,7 @@ def counted(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
             for at in range(0, big.num_rows, 4000):
                 b = big.slice(at, 4000)
                 keys, kinds, nths = [], [], []
-                for key, got in zip(b.column(0).to_pylist(), items(b.column(1).to_pylist())):
+                for key, got in zip(b.column(0).to_pylist(), items(b.column(1).to_pylist(), model)):
                     seen: dict[int, int] = {}
                     for lab, _, _ in got:
                         seen[lab] = seen.get(lab, 0) + 1
@@ -479,12 +648,12 @@ def masked_text(text: str | None, got: list[tuple[int, int, int]]) -> str | None
     return "".join([*out, text[at:]])
 
 
-@F.pandas_udf(T.StringType())
-def _masked(texts: pd.Series) -> pd.Series:
-    values = texts.tolist()
-    return pd.Series([masked_text(t, g) for t, g in zip(values, items(values))], index=texts.index, dtype=object)
+def masked(text: Column, model: Model | None = None) -> Column:
+    """The text with typed placeholders for its personal data."""
 
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        values = texts.tolist()
+        return pd.Series([masked_text(t, g) for t, g in zip(values, items(values, model))], index=texts.index, dtype=object)
 
-def masked(text: Column) -> Column:
-    """The text with typed placeholders for its personal data."""
-    return _masked(text)
+    return run(text)

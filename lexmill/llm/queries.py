@@ -86,15 +86,21 @@ def _personal(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, str, st
     return [("messages", table(spark, d, "messages"), "msg_no", "content"), ("extracted_pages", table(spark, d, "extracted_pages"), "page_no", "text"), ("input_verdicts", table(spark, d, "input_verdicts"), "msg_no", "sanitised")]
 
 
+def _masker(spark: SparkSession, d: str) -> pii.Model:
+    return pii.fitted(table(spark, d, "messages"), table(spark, d, "input_verdicts"), "msg_no", "content", "sanitised")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    found = [pii.counted(t, key, text).select(F.lit(src).alias("src"), "row_key", "kind", "nth") for src, t, key, text in _personal(spark, d)]
+    model = _masker(spark, d)
+    found = [pii.counted(t, key, text, model).select(F.lit(src).alias("src"), "row_key", "kind", "nth") for src, t, key, text in _personal(spark, d)]
     # a message delivered twice has the same content and items: they are counted once
     return found[0].distinct().unionByName(found[1]).unionByName(found[2])
 
 
 def p7_masked(spark: SparkSession, d: str) -> DataFrame:
     """The masked text of every row, rows stored twice and null texts included."""
-    masked = [t.select(F.lit(src).alias("src"), F.col(key).alias("row_key"), pii.masked(F.col(text)).alias("text")) for src, t, key, text in _personal(spark, d)]
+    model = _masker(spark, d)
+    masked = [t.select(F.lit(src).alias("src"), F.col(key).alias("row_key"), pii.masked(F.col(text), model).alias("text")) for src, t, key, text in _personal(spark, d)]
     return masked[0].unionByName(masked[1]).unionByName(masked[2])
 
 
