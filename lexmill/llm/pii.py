@@ -121,7 +121,7 @@ _CUE_NAMES = {P: "cue phone", I: "cue identity", C: "cue account"}
 
 
 class Model:
-    """Weights: node (features x labels), chain (label, next label) and skip (of equal labels at the ends of a link)."""
+    """Weights: node (features x labels), chain (label, next label) and skip (of equal labels but other at the ends of a link)."""
 
     __slots__ = ("chain", "node", "skip")
 
@@ -455,14 +455,15 @@ class _Net:
 
 
 def _shared(cavity: np.ndarray, same: float) -> np.ndarray:
-    """Message of one end of a link to the other."""
+    """Message of one end of a link to the other: only equal labels of personal data are rewarded, so occurrences without evidence never outvote one with it."""
     p = np.exp(cavity - cavity.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
+    p[:, O] = 0
     return np.log(1 + (same - 1) * p)
 
 
 def beliefs(net: _Net, unary: np.ndarray, model: Model, pairs: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Log label beliefs of all tokens by loopy message passing, and the expected number of links of equal labels; pairs: takes the expected label pairs."""
+    """Log label beliefs of all tokens by loopy message passing, and the expected number of links of equal labels but other; pairs: takes the expected label pairs."""
     order = np.argsort(net.lengths, kind="stable")
     belief = np.zeros((net.n, 7))
     _sweep(belief, unary, net.starts, net.lengths, order, model.chain, None if len(net.a) else pairs)
@@ -483,8 +484,8 @@ def beliefs(net: _Net, unary: np.ndarray, model: Model, pairs: np.ndarray | None
     if pairs is not None:
         _sweep(belief, unary + into, net.starts, net.lengths, order, model.chain, pairs)
     x, y = (np.exp(c - c.max(1, keepdims=True)) for c in (belief[net.a] - message[1], belief[net.b] - message[0]))
-    equal = same * (x * y).sum(1)
-    return belief, float((equal / (equal + x.sum(1) * y.sum(1) - (x * y).sum(1))).sum())
+    agree = (x * y)[:, 1:].sum(1)
+    return belief, float((same * agree / ((same - 1) * agree + x.sum(1) * y.sum(1))).sum())
 
 
 def _sweep(belief: np.ndarray, unary: np.ndarray, starts: np.ndarray, lengths: np.ndarray, order: np.ndarray, chain: np.ndarray, pairs: np.ndarray | None) -> None:
