@@ -1,13 +1,13 @@
 """Problem 1: repair text extracted from scanned pages.
 
-Method: words are grouped by their confusable-glyph skeleton; in each group a rare form is a misreading of a far more
-frequent form if the known glyph confusions lead from one to the other, and where several frequent forms are
-possible the one that its neighbours support most often is taken. Running headers and footers are lines at page edges
+Method: words are grouped by their confusable-glyph skeleton; in each group a rarer form may be a misreading of a far more
+frequent form if the known glyph confusions lead from one to the other. Where a form is too frequent to be a misreading only (over 1 / ``SURE`` of the other), or several
+frequent forms are possible, every occurrence is judged by its context: it is what its neighbours support most often, the form as it was read included. Running headers and footers are lines at page edges
 that recur, digits masked, on pages of the document or at page edges of other documents. Words broken over a line (or page) end, by any
 of ``HYPHENS``, are rejoined where the whole corpus knows the joined form rather than the hyphenated one. Lines are then reflowed
 to paragraphs with SQL windows over page order.
 
-Null and empty pages have no lines and no paragraphs. Pages extracted twice are judged each; repairs of a document use the latest
+A first word of a page is no word of its own where the page before ends in a broken one. Null and empty pages have no lines and no paragraphs. Pages extracted twice are judged each; repairs of a document use the latest
 extraction of a page. Counts cover all pages. Only a list of the ``COMMON`` most frequent words is broadcast (a
 bounded filter that spares look-ups; words outside it are joined, none is dropped).
 """
@@ -25,11 +25,15 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import written
 
-EDGE, COMMON, RATIO, LEAST, SHORT = 3, 20_000, 8, 5, 90
+EDGE, COMMON, RATIO, SURE, LEAST, SHORT = 3, 20_000, 8, 50, 5, 90
+#: Of all words of the corpus: first halves of hyphenated words from this share on (and from LEAST on) are known ones.
+KNOWN_FIRST = 2e-6
 
 # Glyph confusions of scanned Latin print, read form for true form.
 CONFUSIONS = [("!", "i"), ("l", "i"), ("1", "i"), ("1", "l"), ("I", "l"), ("i", "l"), ("!", "l"), ("|", "l"), ("0", "o"), ("5", "s"), ("6", "b"), ("9", "g"), ("c", "e"), ("e", "c"), ("f", "t"), ("t", "f"),
               ("li", "h"), ("h", "li"), ("cl", "d"), ("d", "cl"), ("ii", "u"), ("u", "ii"), ("rn", "m"), ("m", "rn"), ("ri", "n"), ("n", "ri"), ("vv", "w"), ("w", "vv"), ("h", "ti"), ("ti", "h")]
+#: A glyph pair may itself be misread: each of its letters in turn by the confusions of single glyphs.
+CONFUSIONS += sorted({(a[:k] + x + a[k + 1 :], b) for a, b in CONFUSIONS if len(a) == 2 for x, y in CONFUSIONS if len(x) == len(y) == 1 for k in (0, 1) if a[k] == y} - set(CONFUSIONS))
 #: Strokes that stay the same under all confusions.
 _STROKES = str.maketrans({**dict.fromkeys("fti1l!|", "i"), **dict.fromkeys("uh", "ii"), "n": "ri", "m": "rri", "d": "ei", "c": "e", "w": "vv", "0": "o", "6": "b", "9": "g", "5": "s"})
 _STRIP = ".,;:()[]{}\"'“”‘’?…—–"
@@ -185,7 +189,7 @@ def word_forms(scanned: DataFrame) -> DataFrame:
 
 
 def corrections(forms: DataFrame, others: DataFrame | None = None) -> DataFrame:
-    """(word, form, n): for every misread word of the corpus (or of other counted words) the frequent forms it may stand for, with their counts."""
+    """(word, form, n, own): for every word of the corpus (or of other counted words) that may be misread the frequent forms it may stand for, with their and its own count."""
     most = F.max("n").over(Window.partitionBy("bones"))
     grouped = forms.where(F.length("word").between(2, 40)).withColumn("most", most)
     frequent = grouped.where((F.col("n") >= LEAST) & (F.col("n") * 4 >= F.col("most"))).select("bones", F.col("word").alias("form"), F.col("n").alias("form_n"))
@@ -199,7 +203,7 @@ def corrections(forms: DataFrame, others: DataFrame | None = None) -> DataFrame:
             yield b.filter(pa.array(keep, pa.bool_()))
 
     both = rare.join(frequent, "bones").where((F.col("form_n") >= RATIO * F.col("n")) & (F.col("word") != F.col("form")))
-    return both.select("word", "form", F.col("form_n").alias("n")).mapInArrow(check, "word string, form string, n long")
+    return both.select("word", "form", F.col("form_n").alias("n"), F.col("n").alias("own")).mapInArrow(check, "word string, form string, n long, own long")
 
 
 def _unmarked(word: Column | str) -> Column:
@@ -218,28 +222,37 @@ class _Plan:
         self.corrections = written(corrections(self.forms), "page-forms")
         common = self.forms.join(self.corrections.select("word").distinct(), "word", "left_anti").orderBy(F.desc("n"), "word").limit(COMMON)
         self.common = df.sparkSession.sparkContext.broadcast(frozenset(r.word for r in common.select("word").collect()))
+        # words judged by context, and what they may stand for: the vocabulary's, whatever the number of pages
+        many = self.corrections.groupBy("word").agg(F.count("*").alias("forms"), F.max("n").alias("most"), F.max("own").alias("own"))
+        doubtful = many.where((F.col("forms") > 1) | (F.col("own") >= LEAST) & (F.col("own") * SURE > F.col("most"))).select("word")
+        self.doubtful = written(self.corrections.join(doubtful, "word"), "page-doubts")
+        heads = self.doubtful.select(F.explode(F.array("word", "form")).alias("word")).distinct()
+        self.heads = df.sparkSession.sparkContext.broadcast(frozenset(r.word for r in heads.collect()))
+        self.words = self.forms.agg(F.sum("n")).first()[0] or 0
         # what a page is asked for is looked up in one pass over the texts; only these rows meet the edge lines, never the texts
         seen = self.pages.mapInArrow(self._look(), self._LOOK)
         away = self.edges.groupBy("page_no").agg(F.collect_set("line_no").alias("away"))  # at most 2 x EDGE lines a page
         rows = seen.join(away, "page_no", "left").withColumn("away", F.coalesce("away", F.array().cast("array<int>")))
         body = F.filter("ahead", lambda x: ~F.array_contains(F.col("away"), x.line))
-        rows = rows.where("kind = 'n' or not array_contains(away, line_no)").withColumn("next", F.get(body, 0)["word"]).withColumn("next_line", F.get(body, 0)["line"])
+        rows = rows.where("kind in ('n', 'x') or not array_contains(away, line_no)").withColumn("next", F.get(body, 0)["word"]).withColumn("next_line", F.get(body, 0)["line"])
         self.lines = written(rows.drop("away", "ahead"), "page-lines")
 
     _LOOK = "kind string, page_no long, doc_id string, page int, line_no int, word string, before string, after string, half string, ahead array<struct<line:int,word:string>>"
 
     def _look(self):
-        """Rare words of lines ('c'), broken line ends ('h') and the first words of a page ('n'); ahead: the lines that may come next."""
-        common = self.common
+        """Rare and doubtful words of lines ('c'; half: 't' at the top of a page), broken line ends ('h'), the first words of a page ('n') and counted neighbours of doubtful words ('x'; in line_no). ahead: the lines that may come next."""
+        common, doubtful = self.common, self.heads
+        asked = df_words(self.doubtful)
         names = ["kind", "page_no", "doc_id", "page", "line_no", "word", "before", "after", "half", "ahead"]
         ahead_type = pa.list_(pa.struct([("line", pa.int32()), ("word", pa.string())]))
         types = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 4, ahead_type]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = common.value
+            known, heads = common.value, doubtful.value
             judged: dict[str, str] = {}  # tokens met before: their bare form, empty if they need no look
             for b in batches:
                 rows: list[tuple] = []
+                beside: Counter[tuple] = Counter()
                 if len(judged) > 300_000:
                     judged.clear()
                 for page_no, doc, page, text in zip(*(c.to_pylist() for c in b.columns)):
@@ -253,18 +266,28 @@ class _Plan:
                         half = last.lstrip(_STRIP)[:-1] if last[-1] in HYPHENS and len(last) > 1 and last[-2].isalpha() else None
                         if half:
                             rows.append(("h", page_no, doc, page, i, None, None, None, half, [{"line": j, "word": x[0]} for j, x in body[k + 1 : k + 2 + EDGE]]))
-                        # a first word may be the rest of a word broken on the line or page before
-                        inner = tokens[1:] if joined_from or k <= EDGE and tokens[0][:1].islower() else tokens
+                        # a first word may be the rest of a word broken on the line before, or on the page before (judged later)
+                        inner = tokens[1:] if joined_from else tokens
+                        top = not joined_from and k <= EDGE and tokens[0][:1].islower()
                         if half:
                             inner = inner[:-1]
                         for p, t in enumerate(inner):
                             w = judged.get(t)
                             if w is None:
                                 w = bare(t)
-                                w = judged[t] = "" if w in known or not _LETTER.search(w) or _ODD.search(w) else w
+                                w = judged[t] = "" if w in known and w not in heads or not _LETTER.search(w) or _ODD.search(w) else w
                             if w:
-                                rows.append(("c", page_no, doc, page, i, w, bare(inner[p - 1]) if p else None, bare(inner[p + 1]) if p + 1 < len(inner) else None, None, None))
+                                # neighbours within the sentence
+                                before = bare(inner[p - 1]) if p and inner[p - 1][-1] not in ".;:?!" else None
+                                after = bare(inner[p + 1]) if p + 1 < len(inner) and t[-1] not in ".;:?!" else None
+                                if w in heads:
+                                    beside[w, "b", before] += 1
+                                    beside[w, "a", after] += 1
+                                    if w in known and w not in asked:
+                                        continue
+                                rows.append(("c", page_no, doc, page, i, w, before, after, "t" if top and not p else None, None))
                         joined_from = bool(half)
+                rows += [("x", None, None, None, n, w, x if side == "b" else None, x if side == "a" else None, side, None) for (w, side, x), n in beside.items() if x]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
@@ -284,47 +307,56 @@ class _Plan:
         h = h.withColumn("first", F.concat(F.lower("half"), F.lit("-"))).join(parts, "first", "left")
         whole, spelt, firsts = (F.coalesce(c, F.lit(0)) for c in ("whole", "spelt", "firsts"))
         lower = F.col("next").rlike("^\\p{Ll}")
-        is_broken = F.when(F.col("next").isNull(), firsts < LEAST).when((whole > 0) | (spelt > 0), whole > spelt).otherwise(lower & (firsts < LEAST))
+        few = firsts < max(LEAST, KNOWN_FIRST * self.words)
+        is_broken = F.when(F.col("next").isNull(), few).when((whole > 0) | (spelt > 0), whole > spelt).otherwise(lower & few)
         return h.where(is_broken).select("page_no", "doc_id", "page", "line_no", "half", "tail", "next_line", "joined")
 
-    def misread(self) -> DataFrame:
-        """(page_no, line_no, word, form): misread words of body lines with the form chosen by context."""
-        c = self.lines.where("kind = 'c'").select("page_no", "line_no", "word", "before", "after")
-        found = c.join(self.corrections, "word")
-        # support: how often the neighbours stand beside the form elsewhere; asked only for words of several forms
-        several = self.corrections.groupBy("word").agg(F.count("*").alias("forms")).where("forms > 1").select("word")
-        unsure = found.join(several, "word", "left_semi")
-        wanted = unsure.select(F.col("form").alias("word"), F.explode(F.array(F.struct(F.lit("b").alias("side"), F.col("before").alias("beside")), F.struct(F.lit("a").alias("side"), F.col("after").alias("beside")))).alias("s"))
-        wanted = wanted.select("word", "s.side", "s.beside").where("beside is not null").distinct()
-        support = self._beside(wanted)
-        left = support.where("side = 'b'").select(F.col("word").alias("form"), F.col("beside").alias("before"), F.col("n").alias("nb"))
-        right = support.where("side = 'a'").select(F.col("word").alias("form"), F.col("beside").alias("after"), F.col("n").alias("na"))
-        scored = found.join(left, ["form", "before"], "left").join(right, ["form", "after"], "left")
-        best = F.max_by("form", F.struct(F.coalesce("nb", F.lit(0)) + F.coalesce("na", F.lit(0)), "n", "form"))
-        return scored.groupBy("page_no", "line_no", "word").agg(best.alias("form"))
-
-    def _beside(self, wanted: DataFrame) -> DataFrame:
-        """(word, side, beside, n): how often each wanted neighbour stands beside the word."""
-        heads = wanted.select("word").distinct()
-        tokens = F.transform(F.split(F.lower("text"), "\\s+"), lambda t: F.regexp_replace(t, "^[.,;:()\"“”]+|[.,;:()\"“”]+$", ""))
-        if heads.isEmpty():
-            return wanted.withColumn("n", F.lit(0))
-        t = self.pages.select(tokens.alias("t"))
-        pairs = t.select(F.explode(F.arrays_zip(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))).alias("x"), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))).alias("y"))).alias("p")).select("p.x", "p.y")
-        counted = pairs.groupBy("x", "y").agg(F.count("*").alias("n"))
-        sides = counted.select(F.col("y").alias("word"), F.lit("b").alias("side"), F.col("x").alias("beside"), "n").unionByName(counted.select(F.col("x").alias("word"), F.lit("a").alias("side"), F.col("y").alias("beside"), "n"))
-        return sides.join(wanted, ["word", "side", "beside"], "left_semi")
+    def suspects(self, broken: DataFrame) -> DataFrame:
+        """(page_no, line_no, word, before, after) of rare and doubtful words, without those that end a word broken on the page before."""
+        c = self.lines.where("kind = 'c'").select("page_no", "doc_id", "page", "line_no", "word", "before", "after", "half")
+        first = self.lines.where("kind = 'n'").select("page_no", F.col("next_line").alias("line_no"))
+        turned = broken.where("next_line is null").select("doc_id", (F.col("page") + 1).alias("page")).distinct()
+        rests = c.where("half = 't'").join(first, ["page_no", "line_no"]).join(turned, ["doc_id", "page"]).select("page_no", "line_no")
+        top = c.where("half = 't'").join(rests, ["page_no", "line_no"], "left_anti")
+        return c.where("half is null").unionByName(top.select(*c.columns)).select("page_no", "line_no", "word", "before", "after")
+
+    def misread(self, broken: DataFrame) -> DataFrame:
+        """(page_no, line_no, word, form): misread words of body lines with the form they stand for."""
+        c = self.suspects(broken)
+        doubtful = self.doubtful.select("word").distinct()
+        sure = c.join(self.corrections.join(doubtful, "word", "left_anti").select("word", "form"), "word").select("page_no", "line_no", "word", "form")
+        # candidates of a doubtful word: its forms and itself; how often its neighbours stand beside each
+        forms = self.doubtful.select("word", "form", "n", "own")
+        forms = forms.select("word", "form", "n").unionByName(forms.select("word", F.col("word").alias("form"), F.col("own").alias("n")).distinct())
+        x = self.lines.where("kind = 'x'").groupBy("word", "half", F.coalesce("before", "after").alias("beside")).agg(F.sum("line_no").alias("n"))
+        left = x.where("half = 'b'").select(F.col("word").alias("form"), F.col("beside").alias("before"), F.col("n").alias("nb"))
+        right = x.where("half = 'a'").select(F.col("word").alias("form"), F.col("beside").alias("after"), F.col("n").alias("na"))
+        found = c.join(forms, "word").join(left, ["form", "before"], "left").join(right, ["form", "after"], "left")
+        itself = F.when(F.col("form") == F.col("word"), 1).otherwise(0)  # the occurrence is no support of its own
+        support = F.greatest(F.coalesce("nb", F.lit(0)) - itself, F.lit(0)) + F.greatest(F.coalesce("na", F.lit(0)) - itself, F.lit(0))
+        # without support a rare word is taken for its most frequent form, a known one for itself
+        known = F.col("own") * SURE > F.col("most")
+        rank = F.struct(support.alias("s"), F.when(F.col("form") == F.col("word"), F.when(F.col("known"), F.lit(1 << 60)).otherwise(-1)).otherwise(F.col("n")).alias("n"), "form")
+        most = self.doubtful.groupBy("word").agg(F.max("n").alias("most"), F.max("own").alias("own")).select("word", ((F.col("own") >= LEAST) & known).alias("known"))
+        best = found.join(most, "word").groupBy("page_no", "line_no", "word", "before", "after").agg(F.max_by("form", rank).alias("form"))
+        return sure.unionByName(best.where("form <> word").select("page_no", "line_no", "word", "form"))
+
+
+def df_words(doubtful: DataFrame) -> frozenset[str]:
+    """The words judged by context (of the vocabulary)."""
+    return frozenset(r.word for r in doubtful.select("word").distinct().collect())
 
 
 def line_faults(df: DataFrame) -> DataFrame:
     """(page_no, line_no, kind): every faulty line; kinds header, pageno, hyphen and char."""
     plan = _Plan(df)
-    chars = plan.lines.where("kind = 'c'").join(plan.corrections.select("word").distinct(), "word", "left_semi").select("page_no", "line_no", F.lit("char").alias("kind"))
     broken = written(plan.broken(), "broken")
+    chars = plan.misread(broken).select("page_no", "line_no", F.lit("char").alias("kind"))
     hyphens = broken.select("page_no", "line_no", F.lit("hyphen").alias("kind"))
     # a joined form that never stands unbroken is judged by the same rules
     unseen = broken.groupBy(F.col("joined").alias("word")).agg(F.count("*").alias("n")).join(plan.forms.select("word"), "word", "left_anti")
-    forms = plan.corrections.unionByName(corrections(plan.forms, _with_bones(unseen)))
+    sure = plan.corrections.join(plan.doubtful.where(F.col("own") >= LEAST).where(F.col("own") * SURE > F.col("n")).select("word"), "word", "left_anti")  # a word in its own right isn't misread for being broken
+    forms = sure.unionByName(corrections(plan.forms, _with_bones(unseen)))
     forms = forms.groupBy(F.col("word").alias("joined")).agg(F.max_by("form", F.struct("n", "form")).alias("form"))
     split_chars = broken.join(forms, "joined").withColumn("late", ~F.endswith("form", "tail"))
     split_chars = written(split_chars.withColumn("early", ~F.startswith("form", F.lower("half")) | ~F.col("late")), "broken-forms")
@@ -341,8 +373,9 @@ def paragraphs(df: DataFrame) -> DataFrame:
     """(doc_id, para_no, text): each document as continuous paragraphs."""
     plan = _Plan(df)
     drop = plan.edges.groupBy("page_no").agg(F.collect_set("line_no").alias("away"))
-    joins = plan.broken().groupBy("page_no").agg(F.collect_set("line_no").alias("joins"))
-    fixes = plan.misread().groupBy("page_no").agg(F.collect_set(F.struct("word", "form")).alias("fixes"))
+    broken = written(plan.broken(), "broken")
+    joins = broken.groupBy("page_no").agg(F.collect_set("line_no").alias("joins"))
+    fixes = plan.misread(broken).groupBy("page_no").agg(F.collect_set(F.struct("word", "form")).alias("fixes"))
     rank = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(F.desc("page_no")))
     latest = plan.pages.select("page_no", "doc_id", "page").withColumn("r", rank).where("r = 1").select("page_no")
     pages = plan.pages.join(latest, "page_no", "left_semi").join(drop, "page_no", "left").join(joins, "page_no", "left").join(fixes, "page_no", "left")

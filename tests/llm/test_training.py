@@ -237,7 +237,7 @@ def test_messages_settle():
     d = pii._Doc(text := "My name is Kamlika Velmuri. " + "and then Velmuri came. " * 30, pii.signs(text))
     net, model = pii._Net([d]), pii.prior()
     belief, equal = pii.beliefs(net, net.unary(model.node), model)
-    assert len(d.links) == 30 and equal > 25
+    assert len(d.links) == 30 and 15 < equal <= 30
     label = belief.argmax(1)
     assert all(label[k] == pii.N for k, t in enumerate(d.tokens) if t == "Velmuri")
 
@@ -288,6 +288,23 @@ def test_misreadings():
     assert ocr.skeleton("forthvvith") == ocr.skeleton("forthwith")
 
 
+def test_context_tells_a_word_from_a_misreading(spark):
+    """'it' may be a misread 'if', and is a word: its neighbours decide."""
+    rows = [(i, f"d{i}", 1, "The order says if the rent is due and if the rent is late then if the owner asks.") for i in range(60)]
+    rows += [(100 + i, f"e{i}", 1, "The owner said that it shall stand and the tenant agreed.") for i in range(20)]
+    rows += [(200, "x", 1, "The order says it the rent is due and"), (201, "y", 1, "it shall stand and the tenant agreed."), (202, "y", 2, "if the rent is late then if the owner asks.")]
+    df = spark.createDataFrame(rows, "page_no long, doc_id string, page int, text string")
+    assert {(r.page_no, r.line_no) for r in ocr.line_faults(df).where("kind = 'char'").collect()} == {(200, 1)}
+
+
+def test_first_words_of_pages_are_judged(spark):
+    good = "The tenant shall pay the settled rent within the said month and leave."
+    rows = [(i, f"d{i}", 1, good) for i in range(30)]
+    rows += [(100, "x", 1, "The tenant shall pay the settled rent"), (101, "x", 2, "w1thin the said month and leave."), (102, "y", 1, "The tenant shall pay the set-"), (103, "y", 2, "tled rent within the said month and leave.")]
+    df = spark.createDataFrame(rows, "page_no long, doc_id string, page int, text string")
+    assert {(r.page_no, r.line_no, r.kind) for r in ocr.line_faults(df).collect()} == {(101, 1, "char"), (102, 1, "hyphen")}
+
+
 def test_every_hyphen_breaks_a_word(spark):
     good = "The tenant shall pay the settled rent within the said month."
     rows = [(i, f"d{i}", 1, good) for i in range(10)]
