@@ -10,6 +10,11 @@ WS = "[\\t\\n\\x0b\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u20
 #: ASCII word boundary (Java's own is Unicode-aware).
 B = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
+def java(pattern: str) -> str:
+    """A pattern written with ASCII word boundaries, digits and words, and Unicode white space, in Java's dialect."""
+    return pattern.replace("\\b", B).replace("\\s", WS).replace("\\d", "[0-9]")
+
+
 # Stop words, fillers and suffixes.
 STOP_WORDS = (
     "a an the and or but if then than that this these those of in on at to for with by from as is are was were be been being it its "

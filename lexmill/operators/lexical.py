@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import exploded_terms
@@ -37,6 +39,68 @@ class Index:
         return self.terms.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", self.key).agg(F.count("*").alias("tf"))
 
 
+class StoredIndex(Index):
+    """An index on disk: postings (term, key, tf, n: passages of the term) sorted by term in buckets, and lengths with the totals.
+
+    A question batch reads the row groups of its terms only (statistics and pushed filters on term and bucket); nothing is tokenised again.
+    """
+
+    BUCKETS = 64
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "chunk_no") -> None:
+        self.key, self.spark, self.path = key, spark, path
+        self.totals = spark.read.parquet(f"{path}/totals")
+
+    @classmethod
+    def build(cls, passages: DataFrame, path: str, key: str = "chunk_no", heading_weight: float = 1) -> StoredIndex:
+        """Write the index to a folder the executors share."""
+        spark, plain = passages.sparkSession, Index(passages, key, heading_weight)
+        tf = plain.terms.groupBy("term", key).agg(F.count("*").alias("tf"))
+        tf.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS))).repartition("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        stored = spark.read.parquet(f"{path}/postings")
+        counted = stored.groupBy(key).agg(F.sum("tf").alias("len"))
+        lens = passages.select(key).join(counted, key, "left").select(key, F.coalesce("len", F.lit(0)).alias("len"))
+        lens.write.parquet(f"{path}/lengths")
+        rows = spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("docs"), F.avg("len").alias("mean"), F.sum("len").alias("terms"))
+        rows.coalesce(1).write.parquet(f"{path}/totals")
+        return cls(spark, path, key)
+
+    @classmethod
+    def cached(cls, passages: DataFrame, folder: str, key: str = "chunk_no", heading_weight: float = 1) -> StoredIndex:
+        """The index of these files under these settings, built where the folder has none; another file, size, time or setting is another index."""
+        spark = passages.sparkSession
+        conf = spark._jsc.hadoopConfiguration()
+        state = []
+        for f in sorted(passages.inputFiles()):
+            at = spark._jvm.org.apache.hadoop.fs.Path(f)
+            found = at.getFileSystem(conf).getFileStatus(at)
+            state.append((f, found.getLen(), found.getModificationTime()))
+        name = hashlib.sha256(repr((state, key, heading_weight, cls.BUCKETS)).encode()).hexdigest()[:32]
+        path = f"{folder}/lexical-{name}"
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/totals/_SUCCESS")
+        if done.getFileSystem(conf).exists(done):
+            return cls(spark, path, key)
+        started = spark._jvm.org.apache.hadoop.fs.Path(path)
+        started.getFileSystem(conf).delete(started, True)  # what a broken build left behind
+        return cls.build(passages, path, key, heading_weight)
+
+    def lengths(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/lengths")
+
+    def postings(self, asked: DataFrame) -> DataFrame:
+        words = [r.term for r in asked.select("term").distinct().limit(self.LITERALS + 1).collect()]
+        rows = self.spark.read.parquet(f"{self.path}/postings")
+        if len(words) <= self.LITERALS:  # few enough terms are pushed to the files' statistics
+            buckets = self.spark.range(1).select(*(F.pmod(F.xxhash64(F.lit(w)), F.lit(self.BUCKETS)).alias(f"b{i}") for i, w in enumerate(words))).first() if words else []
+            rows = rows.where(F.col("bucket").isin(*sorted(set(buckets))) & F.col("term").isin(*words)) if words else rows.limit(0)
+        else:
+            rows = rows.join(asked.select("term").distinct(), "term", "left_semi")
+        return rows.select("term", self.key, "tf")
+
+    #: Terms of a question batch that are written into the plan.
+    LITERALS = 500
+
+
 def question_terms(questions: DataFrame, qid: str, text: str) -> DataFrame:
     """(qid, term, first): distinct terms of each question with the place of the first occurrence."""
     rows = exploded_terms(questions, F.col(text), qid, pos=True)
@@ -47,7 +111,9 @@ def _matches(index: Index, questions: DataFrame, qid: str, text: str) -> DataFra
     """The asked terms of each passage with all that a score needs."""
     asked = question_terms(questions, qid, text)
     lengths = index.lengths()
-    totals = lengths.agg(F.count("*").alias("docs"), F.greatest(F.avg("len"), F.lit(0.0)).alias("mean")).select("docs", F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0).alias("mean"))
+    every = getattr(index, "totals", None)
+    every = lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("mean")) if every is None else every
+    totals = every.select("docs", F.greatest("mean", F.lit(0.0)).alias("mean")).select("docs", F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0).alias("mean"))
     postings = index.postings(asked)
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     return asked.join(postings, "term").join(df, "term").join(lengths, index.key).crossJoin(totals)  # totals: one row

@@ -24,20 +24,16 @@ def mmr(hits: DataFrame, k: int, lam: float) -> DataFrame:
         return hits.where(F.col("rank") <= k).select("qid", "chunk_no", "rank", F.col("rank").alias("picked"))
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["rank"]).reset_index(drop=True)
-        words = [{w for w in _words(t) if len(w) > 3} for t in group["text"].fillna("")]
-        vecs = [None if v is None else np.asarray(v, float) for v in group["vec"]]
-        first = group["score"].iloc[0] or 1.0
-        left, got = list(range(len(group))), []
-        while left and len(got) < k:
-            best, value = left[0], -np.inf
-            for i in left:
-                red = max((_alike(vecs[i], vecs[j], words[i], words[j]) for j in got), default=0.0)
-                v = lam * group["score"][i] / first - (1 - lam) * red
-                if v > value:
-                    best, value = i, v
-            got.append(best)
-            left.remove(best)
+        group = group.sort_values("rank").reset_index(drop=True)
+        like = _likeness(group)
+        gain = lam * group["score"].to_numpy(float) / (group["score"].iloc[0] or 1.0)
+        worst = np.zeros(len(group))  # likeness to the nearest picked one, never under 0
+        got: list[int] = []
+        for _ in range(min(k, len(group))):
+            value = gain - (1 - lam) * worst
+            value[got] = -np.inf
+            got.append(int(value.argmax()))
+            worst = np.maximum(worst, like[got[-1]])
         out = group.loc[got, ["qid", "chunk_no", "rank"]].copy()
         out["picked"] = range(1, len(got) + 1)
         return out
@@ -52,12 +48,16 @@ def _words(text: str) -> list[str]:
     return re.split(r"\W+", text.lower(), flags=re.ASCII)
 
 
-def _alike(a, b, wa: set, wb: set) -> float:
-    if a is not None and b is not None:
-        n = min(len(a), len(b))
-        d = np.linalg.norm(a) * np.linalg.norm(b)
-        return float(a[:n] @ b[:n] / d) if d else 0.0
-    return len(wa & wb) / len(wa | wb) if wa | wb else 0.0
+def _likeness(group: pd.DataFrame) -> np.ndarray:
+    """Likeness of all pairs of a question's candidates: the cosine where both have vectors, else the overlap of words."""
+    words = [{w for w in _words(t) if len(w) > 3} for t in group["text"].fillna("")]
+    out = np.array([[len(a & b) / len(a | b) if a | b else 0.0 for b in words] for a in words])
+    size = max((len(v) for v in group["vec"] if v is not None), default=0)
+    has = np.array([v is not None for v in group["vec"]])
+    vec = np.array([np.pad(np.asarray(v, float), (0, size - len(v))) if v is not None else np.zeros(size) for v in group["vec"]])
+    norm = np.linalg.norm(vec, axis=1)
+    cosine = vec @ vec.T / np.where(norm == 0, 1.0, norm)[:, None] / np.where(norm == 0, 1.0, norm)[None, :]
+    return np.where(has[:, None] & has[None, :], cosine, out)
 
 
 def with_neighbours(winners: DataFrame, passages: DataFrame, window: int, share: float = 0.35) -> DataFrame:

@@ -19,6 +19,13 @@ def _passages(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "chunks").select("chunk_no", "chunk_id", "doc_id", "source", "text", "title", "ref", "heading", "page", "ordinal")
 
 
+def _index(spark: SparkSession, d: str, heading_weight: float = 1) -> lexical.Index:
+    """The chunks' index, stored in the session's shared folder (built once for its files); without such a folder it is a plan."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    passages = _passages(spark, d)
+    return lexical.StoredIndex.cached(passages, folder.rstrip("/"), heading_weight=heading_weight) if folder else lexical.Index(passages, heading_weight=heading_weight)
+
+
 def _questions(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "goldset").select(F.col("id").alias("qid"), "query")
 
@@ -33,13 +40,13 @@ def _halves(spark: SparkSession, d: str) -> DataFrame:
 
 def _lists(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
     q = _halves(spark, d)
-    scored = lexical.bm25(lexical.Index(_passages(spark, d)), q, "qno", "query")
+    scored = lexical.bm25(_index(spark, d), q, "qno", "query")
     hits = lexical.top_k(scored, k, "qno")
     return hits.select(F.element_at(F.split("qno", "/"), 1).alias("qid"), F.element_at(F.split("qno", "/"), 2).cast("int").alias("list_no"), "chunk_no", "rank", "score")
 
 
 def _hits(spark: SparkSession, d: str, k: int = 8, hw: float = 1) -> DataFrame:
-    return lexical.top_k(lexical.bm25(lexical.Index(_passages(spark, d), heading_weight=hw), _questions(spark, d)), k)
+    return lexical.top_k(lexical.bm25(_index(spark, d, hw), _questions(spark, d)), k)
 
 
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +60,7 @@ def term_df(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_length_stats(spark: SparkSession, d: str) -> DataFrame:
-    lengths = lexical.Index(_passages(spark, d), heading_weight=3).lengths()
+    lengths = _index(spark, d, 3).lengths()
     return lengths.agg(F.count("*").alias("docs"), F.sum("len").cast("bigint").alias("terms"), F.max("len").cast("bigint").alias("longest"))
 
 
@@ -186,8 +193,8 @@ def rewrite_guard(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pii_redact(spark: SparkSession, d: str) -> DataFrame:
-    out, found = guard.masked(F.col("content"))
-    return _t(spark, d, "messages").select("msg_no", F.md5(out).alias("masked"), F.array_join(found, ",").alias("found"))
+    rows = guard.masked_rows(_t(spark, d, "messages").select("msg_no", "content"), "content")
+    return rows.select("msg_no", F.md5("masked").alias("masked"), F.array_join("found", ",").alias("found"))
 
 
 def input_verdict(spark: SparkSession, d: str) -> DataFrame:
@@ -303,7 +310,7 @@ def param_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Mean metrics over the whole grid of k1 and b: one index, all trials in one pass."""
     trials = [(k1, b) for k1 in GRID["bm25_k1"] for b in GRID["bm25_b"]]
     tried = spark.createDataFrame([(n, *t) for n, t in enumerate(trials)], "trial int, k1 double, b double")
-    scored = lexical.bm25_trials(lexical.Index(_passages(spark, d), heading_weight=3), _questions(spark, d), trials)
+    scored = lexical.bm25_trials(_index(spark, d, 3), _questions(spark, d), trials)
     asked = F.concat_ws("/", F.col("trial").cast("string"), "qid").alias("qid")  # a question of a trial is judged as one of its own
     hits = lexical.top_k(scored.select(asked, "chunk_no", "score"), 12)
     passages = _passages(spark, d).select("chunk_no", "title", "ref", F.length("text").alias("chars"))

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from lexmill.functions.guard import CRISIS, HARMFUL, INJECTION, OVERCLAIMS, PERSONAL
-from lexmill.functions.readability import JARGON
 from lexmill.functions.risk import KEYWORDS
-from lexmill.functions.text import FILLERS, STOP_WORDS, SUFFIXES, B, WS
+from lexmill.functions.text import FILLERS, STOP_WORDS, SUFFIXES
 
 _WS2 = r"[\t\n\x0b\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 
-def re2(java: str) -> str:
-    """A pattern of the Spark side in the other dialect (both boundaries are ASCII), quoted for SQL."""
-    return java.replace(B, r"\b").replace(WS, _WS2).replace(r"\A", "^").replace(r"\z", "$").replace("'", "''")
+def re2(pattern: str) -> str:
+    """A pattern in this dialect (its boundaries are ASCII, its white space isn't all), quoted for SQL."""
+    return pattern.replace(r"\s", _WS2).replace("'", "''")
+
+
+# The SQL's own fixed values; nothing here is taken from the columns it checks.
+_PERSONAL = (("Aadhaar", r"\b[0-9]{4}\s?[0-9]{4}\s?[0-9]{4}\b", "[AADHAAR]"), ("PAN", r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", "[PAN]"), ("phone", r"\b(\+91[ -]?)?[6-9][0-9]{9}\b", "[PHONE]"), ("email", r"\b[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]{2,}\b", "[EMAIL]"), ("account", r"\b[0-9]{11,18}\b", "[ACCOUNT]"))
+_CRISIS = r"\b(kill|hurt|harm)\s+my\s*self\b|\bsuicid(e|al)\b|\bend\s+my\s+life\b|\bi\s+(want|am\s+going)\s+to\s+die\b"
+_INJECTION = r"ignore\s+(all\s+)?(the\s+)?(previous|prior|above)\s+instruction|disregard\s+(your|the)\s+(system\s+)?(prompt|instruction|rule)|(reveal|print|show|repeat)\s+(your|the)\s+(system\s+)?prompt|you\s+are\s+now\s+(a|an|in)\s+(developer|dan|jailbreak|god)\s*mode|pretend\s+(you\s+)?(are|to\s+be)\s+(not\s+)?(an?\s+)?(ai|assistant|lawyer)\b.*\b(no\s+rules|without\s+restrictions)|\bsystem\s*:\s*you\s+must\b"
+_HARMFUL = r"\b(forge|fabricate|falsify|backdate)\b[^.?!]{0,40}\b(signature|document|affidavit|stamp|evidence|receipt|will)\b|\bhow\s+(do\s+i|to)\b[^.?!]{0,40}\b(bribe|pay\s+off)\b[^.?!]{0,30}\b(judge|officer|official|police|clerk)\b|\b(destroy|shred|delete|hide)\b[^.?!]{0,30}\b(evidence|records?)\b[^.?!]{0,30}\b(before|from)\b[^.?!]{0,30}\b(court|police|audit|investigat)|\blaunder(ing)?\b[^.?!]{0,25}\bmoney\b|\bhelp\s+me\b[^.?!]{0,30}\b(evade|dodge)\b[^.?!]{0,20}\b(tax|taxes|summons|arrest)\b|\b(threaten|intimidate)\b[^.?!]{0,30}\b(witness|tenant|complainant)\b"
+_CLAIMS = ((r"\byou\s+will\s+(definitely\s+)?win\b", "you may have a case"), (r"\byou\s+are\s+guaranteed\b", "you may be entitled"), (r"\bthis\s+is\s+100%\s+(legal|illegal)\b", "this appears to be"), (r"\bi\s+guarantee\b", "based on the text"), (r"\byou\s+should\s+sue\b", "one option is to take legal action"))
+_TERMS = "hereinafter,heretofore,thereof,therein,hereby,whereas,aforesaid,notwithstanding,indemnify,indemnification,estoppel,force majeure,lien,covenant,sine die,prima facie,ultra vires,ex parte,mutatis mutandis,inter alia,pursuant to,liquidated damages,subrogation,novation,arbitration,jurisdiction,injunction".split(",")
 
 
 def _stem(w: str) -> str:
@@ -72,21 +79,21 @@ def _rank10(source: str, order: str) -> str:
 
 def _masked() -> tuple[str, str]:
     s, found = "content", []
-    for label, pattern in PERSONAL:
+    for label, pattern, mark in _PERSONAL:
         found.append(f"CASE WHEN regexp_matches({s}, '{re2(pattern)}') THEN '{label}' END")
-        s = f"regexp_replace({s}, '{re2(pattern)}', '[{label}]', 'g')"
+        s = f"regexp_replace({s}, '{re2(pattern)}', '{mark}', 'g')"
     return s, "concat_ws(',', " + ", ".join(found) + ")"
 
 
-def _any(patterns: tuple[str, ...]) -> str:
-    return "regexp_matches(content, '(?i)" + "|".join(f"(?:{re2(p)})" for p in patterns) + "')"
+def _any(pattern: str, text: str = "content") -> str:
+    return f"regexp_matches({text}, '(?i){re2(pattern)}')"
 
 
 def _softened(s: str) -> str:
     for pattern, new in ((f"{_WS2}*—{_WS2}*", ", "), (rf"([A-Za-z0-9_]){_WS2}*–{_WS2}*([A-Za-z0-9_])", r"\1 to \2"), (f"{_WS2}*–{_WS2}*", ", "), (f",{_WS2}*,", ","), (rf",{_WS2}*\.", ".")):
         s = f"regexp_replace({s}, '{pattern}', '{new}', 'g')"
-    for pattern, new in OVERCLAIMS:
-        s = f"regexp_replace({s}, '{re2(pattern)}', '{new}', 'g')"
+    for pattern, new in _CLAIMS:
+        s = f"regexp_replace({s}, '(?i){re2(pattern)}', '{new}', 'g')"
     return s
 
 
@@ -109,8 +116,8 @@ def oracle_sql() -> dict[str, str]:
     note_body = f"regexp_replace(regexp_replace(text, '(?i)^{_WS2}*Section{_WS2}+[0-9A-Z]+\\.{_WS2}*', ''), '^{_WS2}+', '')"
     syl = "CASE WHEN length(z) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(regexp_replace(z, '(?:es|ed|[^laeiouy]e)$', ''), '[aeiouy]{1,2}'))) END"
     clean = f"trim(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), '[#*_>\\[\\]()-]', ' ', 'g'), '{_WS2}+', ' ', 'g'))"
-    told = f"means|meaning|that is|i\\.e\\.|in simple|in plain|—{_WS2}|-{_WS2}|\\(|\""
-    jargon = ", ".join(f"CASE WHEN contains(lower(text), '{t}') AND NOT regexp_matches(substring(lower(text), CAST(strpos(lower(text), '{t}') AS INT), 160), '{told}') THEN '{t}' END" for t in JARGON)
+    told = f"means|meaning|that is|i\\.e\\.|in simple|in plain|— |- |\\(|\"|''"
+    jargon = ", ".join(f"CASE WHEN contains(lower(text), '{t}') AND NOT regexp_matches(substring(lower(text), CAST(strpos(lower(text), '{t}') AS INT), 160), '{told}') THEN '{t}' END" for t in _TERMS)
     hits = " + ".join("(length(low) - length(replace(low, '{0}', ''))) // {1}".format(k.replace("'", "''"), len(k)) for k in KEYWORDS)
     fnv = lambda seed: f"list_reduce(list_prepend(CAST({seed} AS BIGINT), list_transform(range(1, length(term) + 1), lambda i: CAST(ascii(substring(term, CAST(i AS INT), 1)) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
     bigcols = "CAST(sum(length(text)) AS BIGINT)"
@@ -144,7 +151,7 @@ def oracle_sql() -> dict[str, str]:
             w AS (SELECT msg_no, list_distinct(list_filter(string_split_regex(lower(content), '[^A-Za-z0-9_]+'), lambda x: length(x) > 3)) AS a, list_distinct(list_filter(string_split_regex(lower(before), '[^A-Za-z0-9_]+'), lambda x: length(x) > 3)) AS b FROM m WHERE before IS NOT NULL)
             SELECT msg_no, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) END AS overlap FROM w""",
         "pii_redact": f"SELECT msg_no, md5({masked}) AS masked, {found} AS found FROM messages",
-        "input_verdict": f"SELECT msg_no, CASE WHEN content IS NULL OR {_TRIM % 'content'} = '' THEN 'empty' WHEN length(content) > 4000 THEN 'too_long' WHEN {_any(CRISIS)} THEN 'crisis' WHEN {_any(INJECTION)} THEN 'injection' WHEN {_any(HARMFUL)} THEN 'harmful_legal' ELSE 'ok' END AS category FROM messages WHERE role = 'user'",
+        "input_verdict": f"SELECT msg_no, CASE WHEN content IS NULL OR {_TRIM % 'content'} = '' THEN 'empty' WHEN length({_TRIM % 'content'}) > 4000 THEN 'too_long' WHEN {_any(_CRISIS)} THEN 'crisis' WHEN {_any(_INJECTION)} THEN 'prompt_injection' WHEN {_any(_HARMFUL)} THEN 'harmful_legal' ELSE 'ok' END AS category FROM messages WHERE role = 'user'",
         "output_guard": f"SELECT msg_no, md5({_TRIM % f"regexp_replace({_softened('content')}, '\\[(?:0?[03-9]|00|[1-9][0-9])\\]', '', 'g')"}) AS text FROM messages WHERE role = 'assistant'",
         "citation_check": "SELECT msg_no, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(content, '\\[([0-9]{1,2})\\]', 1), lambda x: CAST(x AS INT)), lambda n: n < 1 OR n > 2))), ',') AS invalid FROM messages WHERE role = 'assistant'",
         "readability_scores": f"""WITH c AS (SELECT doc_id, {clean} AS t FROM documents WHERE text IS NOT NULL),

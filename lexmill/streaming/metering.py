@@ -17,26 +17,31 @@ def daily_usage(events: DataFrame, ts: str = "ts", who: str = "user_id", tokens:
     return rows.groupBy(day, who).agg(F.sum(tokens).alias("used")).select(F.col("window.start").alias("start"), who, "used")
 
 
-def rate_limited(events: DataFrame, per_minute: int, ts: str = "ts", who: str = "user_id", key: str = "event_id", ttl_ms: int = 120_000) -> DataFrame:
-    """(who, key, minute) of admitted calls: a tumbling minute bucket a user, kept in state until it is two minutes old."""
-    rows = events.select(F.col(who).cast("long").alias("who"), F.col(key).cast("long").alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+def rate_limited(events: DataFrame, per_minute: int, ts: str = "ts", who: str = "user_id", key: str = "event_id", late: str = "2 minutes") -> DataFrame:
+    """(who, key, minute) of admitted calls: the first ``per_minute`` of each user's minute in the order they arrive.
+
+    Every minute of a user has its own count in state, so late calls of an earlier minute neither reset nor evade it. A minute leaves the state once
+    the watermark has passed it; calls later than that are dropped by the watermark.
+    """
+    at = F.col(ts).cast("timestamp")
+    rows = events.select(F.col(who).cast("long").alias("who"), F.col(key).cast("long").alias("key"), at.alias("at")).withWatermark("at", late)
+    rows = rows.withColumn("minute", F.floor(F.unix_micros("at") / 60_000_000))
 
     def admit(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        minute, used = state.get if state.exists else (-1, 0)
-        calls = pd.concat(list(parts)).sort_values(["us", "key"])
+        used = state.get[0] if state.exists else 0
         got = []
-        for us, k in zip(calls["us"], calls["key"]):
-            m = int(us) // 60_000_000
-            if m != minute:
-                minute, used = m, 0
-            if used < per_minute:
-                used += 1
-                got.append((group[0], int(k), m))
-        state.update((minute, used))
-        state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame(got, columns=["who", "key", "minute"])
-
-    return rows.groupBy("who").applyInPandasWithState(admit, "who long, key long, minute long", "minute long, used long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        for part in parts:
+            part = part.sort_values(["at", "key"])
+            part = part.iloc[: max(per_minute - used, 0)]
+            used += len(part)
+            got.append(part)
+        state.update((used,))
+        end = (int(group[1]) + 1) * 60_000
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        made = pd.concat(got)
+        yield pd.DataFrame({"who": group[0], "key": made["key"], "minute": int(group[1])})
+
+    return rows.groupBy("who", "minute").applyInPandasWithState(admit, "who long, key long, minute long", "used long", "append", GroupStateTimeout.EventTimeTimeout)
