@@ -71,6 +71,24 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(n == 0, 1, n)
 
 
+def sparse_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "chunk_no", qid: str = "qid") -> DataFrame:
+    """(qid, key, rank, score): the k best of sparse unit vectors (key, idx, value) for sparse unit queries (qid, idx, value); only cells that a query has meet."""
+    asked = queries.select(qid, "idx", F.col("value").alias("asked"))
+    scores = vectors.join(asked, "idx").groupBy(qid, key).agg(F.round(F.sum(F.col("value") * F.col("asked")), 6).alias("score"))
+    order = Window.partitionBy(qid).orderBy(F.desc("score"), key)
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def in_batches(texts: Iterator[list[str]], encoder, size: int = 48, most: int = 6000) -> Iterator[list[list[float]]]:
+    """Vectors of a remote encoder for lists of texts: at most ``size`` texts a call, each cut at ``most`` characters (the encoder's own limit), unit length."""
+    for part in texts:
+        out: list[list[float]] = []
+        for at in range(0, len(part), size):
+            got = np.asarray(encoder([t[:most] for t in part[at : at + size]]), float)
+            out += _unit(got).tolist()
+        yield out
+
+
 def encode_missing(df: DataFrame, vec: str, encoder) -> DataFrame:
     """Stored vectors, encoded only where missing; ``encoder`` maps a text column to a vector column."""
     return df.withColumn(vec, F.coalesce(F.col(vec), F.when(F.col(vec).isNull(), encoder(F.col("text")))))

@@ -81,3 +81,20 @@ def exhausted_message(reset_seconds: Column, scope: Column) -> Column:
 
 def total_tokens(prompt: Column, completion: Column) -> Column:
     return F.coalesce(prompt, F.lit(0)) + F.coalesce(completion, F.lit(0))
+
+
+def stored_chats(messages: DataFrame, user: str = "user_id", chat: str = "chat_id", when: str = "created_at", keep: int = 60, most: int = 40) -> DataFrame:
+    """(user, chat, updated, rank, messages): every user's latest chats, each with its last messages (turn, role, content) in order."""
+    last = recent(messages, chat, "turn", "msg_no", keep)  # ``keep`` messages of a chat travel at most
+    updated = messages.groupBy(user, chat).agg(F.max(when).alias("updated"))
+    kept = recent(updated, user, "updated", chat, most)
+    packed = last.groupBy(user, chat).agg(F.array_sort(F.collect_list(F.struct("turn", "msg_no", "role", "content"))).alias("messages"))
+    return kept.join(packed, [user, chat])
+
+
+def opened(local: DataFrame, server: DataFrame, key: str, updated: str) -> DataFrame:
+    """Chats by key: the server's copy unless the local one is newer; ``origin`` says which."""
+    cols = [c for c in local.columns if c != key]
+    both = local.select(key, F.struct(*cols).alias("l")).join(server.select(key, F.struct(*cols).alias("s")), key, "full")
+    theirs = F.col("s").isNotNull() & (F.col("l").isNull() | F.coalesce(F.col(f"s.{updated}") >= F.col(f"l.{updated}"), F.lit(True)))
+    return both.select(key, *(F.when(theirs, F.col(f"s.{c}")).otherwise(F.col(f"l.{c}")).alias(c) for c in cols), F.when(theirs, "server").otherwise("local").alias("origin"))

@@ -303,7 +303,8 @@ def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eval_summary(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.means(_judge(spark, d, _hits(spark, d, 12, 3), 12))
+    m = evaluation.means(_judge(spark, d, _hits(spark, d, 12, 3), 12))
+    return m.select(*(F.round(c, 5).alias(c) for c in m.columns))
 
 
 def param_sweep(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexmill.plans import extra, extra_sql
 from lexmill.plans.queries import QUERIES
 from lexmill.plans.sql import oracle_sql as _sql
 
@@ -13,8 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | extra.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _sql()
+    return _sql() | extra_sql.oracle_sql()

@@ -115,11 +115,47 @@ def manifest(rows: DataFrame) -> DataFrame:
     return rows.rollup("title").agg(F.count("*").alias("passages"), F.sum(F.length("text")).alias("chars"))
 
 
+def manifest_rows(rows: DataFrame, size: int = 900) -> DataFrame:
+    """(part, name, passages, chars, bytes): a row an act, a row a shard, and the totals."""
+    counts = [F.count("*").alias("passages"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("chars"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long").alias("bytes")]
+    acts = rows.groupBy(F.lit("act").alias("part"), F.col("title").alias("name")).agg(*counts)
+    shards = sharded(rows, size=size).groupBy(F.lit("shard").alias("part"), F.col("shard").cast("string").alias("name")).agg(*counts)
+    total = rows.agg(*counts).select(F.lit("total").alias("part"), F.lit(None).cast("string").alias("name"), "passages", "chars", "bytes")
+    return acts.unionByName(shards).unionByName(total)
+
+
+def write_corpus(rows: DataFrame, path: str, built_at: str, params: str) -> None:
+    """Shards and their manifest: the rows of ``manifest_rows`` with when and how they were built."""
+    write_shards(sharded(rows), f"{path}/shards")
+    manifest_rows(rows).withColumns({"built_at": F.lit(built_at), "params": F.lit(params)}).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def read_corpus(spark: SparkSession, path: str, stored: DataFrame | None = None, stored_at: str | None = None) -> tuple[DataFrame, bool]:
+    """(passages, fresh): the stored table if it was built when the manifest was and has the rows it names, else the shards read again."""
+    total = spark.read.json(f"{path}/manifest").where("part = 'total'").select("built_at", "passages").first()
+    if stored is not None and stored_at == total.built_at and stored.count() == total.passages:
+        return stored, True
+    return spark.read.parquet(f"{path}/shards").drop("shard"), False
+
+
+def write_acts(acts: DataFrame, path: str) -> None:
+    """One folder of JSON an act, replacing what was there."""
+    acts.withColumn("act", F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "-")).write.mode("overwrite").partitionBy("act").json(path)
+
+
 def fresh(manifest_rows: int, stored: DataFrame) -> bool:
     """Whether a stored table has the rows its manifest names."""
     return stored.count() == manifest_rows
 
 
+def refused(spark: SparkSession, path: str) -> DataFrame:
+    """(path, reason) of the files that ``files`` leaves out: of an unknown kind, empty or too large."""
+    rows = spark.read.format("binaryFile").load(path).select("path", "length")
+    known = F.lower(F.regexp_extract("path", "\\.([A-Za-z0-9]+)\\z", 1)).isin("txt", "md", "csv", "docx", "pdf", "png", "jpg", "jpeg", "webp")
+    reason = F.when(~known, "unknown kind").when(F.col("length") == 0, "empty").when(F.col("length") > MAX_BYTES, "too large")
+    return rows.select("path", reason.alias("reason")).where("reason is not null")
+
+
 def upserted(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """The table with rows replaced or added by key."""
     return table.join(rows.select(key), key, "left_anti").unionByName(rows)
