@@ -35,18 +35,35 @@ BLANKS = "               　"
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 CYRILLIC = dict(zip("аеорсухѕіјһԁԛԝАВЕЅІЈКМНОРСТХУԌԚԜ", "aeopcyxsijhdqwABESIJKMHOPCTXYGQW"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϳ", "ABEZHIKMNOPTYXoj"))
-LOOK = {"C": CYRILLIC, "G": GREEK}
-
-_CHARS = {ord(c): None for c in INVISIBLE} | {ord(c): " " for c in BLANKS} | {ord(k): v for k, v in LIGATURES.items()} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
-_NEEDS_CHARS = re.compile("[" + "".join(re.escape(chr(c)) for c in _CHARS) + "]")
-_FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ]")
-_TOKEN = re.compile("[A-Za-zÀ-ɏ̀-ͯͰ-ϿЀ-ԯ]+")
+ARMENIAN = dict(zip("օսոհզցՕՍՏԼ", "ounhqgOUSL"))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃᎥ", "ABCDEHJKLMPRSTVWZi"))
+LOOK = {"C": CYRILLIC, "G": GREEK, "A": ARMENIAN, "K": CHEROKEE}
+
+
+def _styled() -> dict[int, str]:
+    """By rule: letters that are font styles of others (mathematical, letterlike) and letter numerals written as one character."""
+    out = {}
+    for c in [*range(0x2100, 0x2190), *range(0x1D400, 0x1D800)]:
+        kind, _, rest = unicodedata.decomposition(chr(c)).partition(" ")
+        to = unicodedata.normalize("NFKC", chr(c))
+        if (kind == "<font>" or kind == "<compat>" and unicodedata.category(chr(c)) == "Nl") and rest and to.isalpha():
+            out[c] = to
+    return out
+
+
+_CHARS = _styled() | {ord(c): None for c in INVISIBLE} | {ord(c): " " for c in BLANKS} | {ord(k): v for k, v in LIGATURES.items()} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+_STYLED = re.compile("[\u2100-\u218f\U0001d400-\U0001d7ff]")
+_NEEDS_CHARS = re.compile("[" + "".join(re.escape(chr(c)) for c in _CHARS if c not in _styled()) + "]")
+_FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ԰-֏Ꭰ-\u13ff]")
+_TOKEN = re.compile("[A-Za-zÀ-ɏ̀-ͯͰ-ϿЀ-ԯ԰-֏Ꭰ-\u13ff]+")
 #: Back from Latin, for tokens that can only be Cyrillic or Greek (first listed wins).
 _BACK = {s: {v: k for k, v in reversed(list(m.items()))} for s, m in LOOK.items()}
 
 def _script(c: str) -> str:
     o = ord(c)
-    return "G" if 0x370 <= o <= 0x3FF else "C" if 0x400 <= o <= 0x52F else "" if 0x300 <= o <= 0x36F else "L"
+    if o < 0x300 or o > 0x13FF:
+        return "L"
+    return "" if o <= 0x36F else "G" if o <= 0x3FF else "C" if o <= 0x52F else "A" if 0x530 <= o <= 0x58F else "K" if o >= 0x13A0 else "L"
 
 
 def _spell(m: re.Match) -> str:
@@ -56,7 +73,7 @@ def _spell(m: re.Match) -> str:
         return token
     chars = unicodedata.normalize("NFD", token)
     own = {_script(c) for c in chars} - {""}
-    resolved = {"L", "C", "G"}
+    resolved = {"L", *LOOK}
     for c in chars:
         s = _script(c)
         if s == "L":
@@ -79,7 +96,7 @@ def one_form(text: str | None) -> str | None:
     """The one form of a text."""
     if text is None or text.isascii():
         return text
-    if _NEEDS_CHARS.search(text):
+    if _NEEDS_CHARS.search(text) or _STYLED.search(text):
         text = text.translate(_CHARS)
     text = unicodedata.normalize("NFC", text)
     if _FOREIGN.search(text):
@@ -118,6 +135,17 @@ def form_keys(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"key {df.schema[key_col].dataType.simpleString()}, form binary, stored binary")
 
 
+def look_alike_classes(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """(key, class, spellings) of every text that isn't blank: the smallest key of its one form, and how many stored texts have that form.
+
+    Groups are counted before they are joined back, so a form that a third of the rows share isn't gathered anywhere.
+    """
+    rows = written(form_keys(df, key_col, text_col), "forms")
+    stored = rows.groupBy("form", "stored").agg(F.min("key").alias("key"))
+    classes = stored.groupBy("form").agg(F.min("key").alias("class"), F.count("*").alias("spellings"))
+    return rows.select("form", "key").join(classes, "form").select("key", "class", "spellings")
+
+
 def look_alike_pairs(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
     """(key_a, key_b), key_a < key_b: rows whose texts have one form but are stored differently.
 

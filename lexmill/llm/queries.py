@@ -38,6 +38,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.lit("documents").alias("tab"), "key_a", "key_b").unionByName(chunks.select(F.lit("chunks").alias("tab"), "key_a", "key_b"))
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every text that isn't blank with the class of its form: the form to join on where pairs would be many."""
+    parts = [canonical.look_alike_classes(table(spark, d, tab), key, "text").select(F.lit(tab).alias("tab"), "key", "class", "spellings") for tab, key in (("documents", "doc_id"), ("chunks", "chunk_no"))]
+    return parts[0].unionByName(parts[1])
+
+
 def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     parts = [("documents", "doc_id"), ("chunks", "chunk_no")]
     forms = [table(spark, d, tab).select(F.lit(tab).alias("tab"), F.col(key).alias("key"), canonical.one_form_column(F.col("text")).alias("text")) for tab, key in parts]
