@@ -4,7 +4,7 @@ Method: shifted space-filling curves. Vectors are projected to ``DIMS`` dimensio
 orthogonal projections, each with its own shift, and put on a Hilbert curve. Every ordering is cut into key ranges of about
 ``BLOCK`` vectors, at quantiles of a bounded sample of keys (``SAMPLE`` vectors; every vector is indexed). Vectors are shuffled once to their ranges; a
 query goes to its own range and to the neighbouring ranges that its window of ``WINDOW`` keys on each side touches, is reranked
-there by exact cosine, and the best of all orderings and ranges are merged. A task holds one range and its queries, whatever the collection's size.
+there by exact cosine, and the best of all orderings and ranges are merged. A task holds one range and its queries.
 
 Loss, measured against brute force (see README): vectors with close neighbours (mean cosine 0.97) lose under 0.01 of their 10
 nearest at a window of 2,048 among 244,000. Vectors without close neighbours (mean cosine 0.55) need a window in proportion
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 K, ORDERS, DIMS, LEVELS, WINDOW = 10, 8, 6, 8, 2048
-#: Vectors of a key range, about; vectors whose keys set the ranges' bounds; queries of one product.
-BLOCK, SAMPLE, STEP = 4096, 100_000, 512
+#: Vectors of a key range, about and at least; vectors whose keys set the ranges' bounds.
+BLOCK, SAMPLE = 4096, 100_000
+#: Ranges grow with the window, so that a query goes to few of them, up to so many vectors; cosines of one product.
+MOST, CELLS = 1 << 17, 1 << 21
 #: Places of equal curve keys are spread over so many bits of a hash.
 SPREAD = 63 - DIMS * LEVELS
 
@@ -100,9 +102,10 @@ def _top(query: np.ndarray, asked: np.ndarray, key: np.ndarray, unit: np.ndarray
     out = []
     order = np.argsort(key, kind="stable")
     key, unit = key[order], unit[order]
-    for at in range(0, len(query), STEP):
-        ids = query[at : at + STEP]
-        cos = asked[at : at + STEP] @ unit.T
+    step = max(16, CELLS // max(len(key), 1))
+    for at in range(0, len(query), step):
+        ids = query[at : at + step]
+        cos = asked[at : at + step] @ unit.T
         cos[ids[:, None] == key[None, :]] = -2
         take = min(k, len(key))
         floor = np.partition(cos, len(key) - take, axis=1)[:, len(key) - take]
@@ -139,8 +142,9 @@ def nearest(df: DataFrame, asked: DataFrame | None = None, key_col: str = "chunk
     rows = rows.select(F.col(key_col).cast("long").alias("key"), vec.alias("vec"))
     total = rows.count()
     window = max(window, int(total * share))
-    blocks = max(1, round(total / BLOCK))
-    reach = -(-window // BLOCK)
+    size = min(max(BLOCK, window // 2), max(BLOCK, MOST))
+    blocks = max(1, round(total / size))
+    reach = -(-window // size)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
