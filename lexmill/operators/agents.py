@@ -86,7 +86,7 @@ def prompt_blocks(blocks: list[tuple[str, Column]]) -> Column:
 
 def memory_facts(said: Column, most: int = 4) -> Column:
     """At most four trimmed facts of over three characters from what a model said."""
-    return F.slice(F.transform(F.filter(said, lambda f: F.length(F.trim(f)) > 3), F.trim), 1, most)
+    return F.slice(F.transform(F.filter(said, lambda f: F.length(F.trim(f)) > 3), lambda f: F.trim(f)), 1, most)
 
 
 def run_summary(runs: DataFrame, score: str = "flesch", ms: str = "ms", text: str = "answer") -> DataFrame:

@@ -149,10 +149,10 @@ def fresh(manifest_rows: int, stored: DataFrame) -> bool:
 
 
 def refused(spark: SparkSession, path: str) -> DataFrame:
-    """(path, reason) of the files that ``files`` leaves out: of an unknown kind, empty or too large."""
+    """(path, reason) of the files that ``files`` leaves out: of an unknown kind or too large. Empty files have no row in the reader, so neither list has them."""
     rows = spark.read.format("binaryFile").load(path).select("path", "length")
     known = F.lower(F.regexp_extract("path", "\\.([A-Za-z0-9]+)\\z", 1)).isin("txt", "md", "csv", "docx", "pdf", "png", "jpg", "jpeg", "webp")
-    reason = F.when(~known, "unknown kind").when(F.col("length") == 0, "empty").when(F.col("length") > MAX_BYTES, "too large")
+    reason = F.when(~known, "unknown kind").when(F.col("length") > MAX_BYTES, "too large")
     return rows.select("path", reason.alias("reason")).where("reason is not null")
 
 
