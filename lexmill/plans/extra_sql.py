@@ -33,6 +33,30 @@ def _readable(table: str) -> str:
 _ANSWERS = f"(SELECT msg_no AS doc_id, content AS text FROM {s._LATEST} WHERE role = 'assistant' AND content IS NOT NULL)"
 
 
+# The SQL's own rules: weight, label, pattern.
+_RISKS = (
+    (3, "money can be kept", r"(?i)\b(forfeit|forfeited|retain\s+the\s+entire|confiscate)\b"), (3, "no warning needed", r"(?i)\bwithout\s+(any\s+)?(prior\s+)?notice\b"), (3, "one-sided decision power", r"(?i)\b(sole|absolute)\s+discretion\b"),
+    (3, "you pay for their losses", r"(?i)\b(indemnify|indemnification|hold\s+harmless)\b"), (4, "no cap on what you owe", r"(?i)\b(unlimited\s+liability|liable\s+for\s+all)\b"), (3, "you give up a right", r"(?i)\b(waive|waiver)\b[^.]{0,40}\b(right|claim|notice)\b"),
+    (2, "money is not coming back", r"(?i)\b(no\s+refund(s|able)?|non-?refundable)\b"), (2, "fixed penalty", r"(?i)\b(liquidated\s+damages|penalt(y|ies))\b"), (3, "lasts forever", r"(?i)\b(in\s+perpetuity|never\s+expires?)\b"),
+    (2, "limits your next job", r"(?i)\b(non-?compete|non-?solicit(ation)?)\b"), (2, "you must go to their city to fight", r"\b(exclusive\s+jurisdiction|courts?\s+(at|of|in)\s+[A-Z][a-z]+\s+(alone|only))"), (2, "no court, no appeal", r"(?i)\b(binding\s+arbitration|final\s+and\s+binding)\b"),
+    (2, "renews by itself", r"(?i)\bautomatic(ally)?\s+renew(al|ed|s)?\b"), (3, "they can walk away anytime", r"(?i)\bterminate\b[^.]{0,50}\bfor\s+convenience\b"), (2, "transfer restrictions", r"(?i)\b(sub-?let|assign)\b[^.]{0,40}\bwithout\b[^.]{0,20}\bconsent\b"),
+    (3, "high interest rate", r"(?i)\binterest\s+@?\s*[0-9]{2,}\s*%"), (2, "you are locked in", r"(?i)\block-?in\s+period\b"), (1, "large deposit", r"(?i)\bsecurity\s+deposit\b[^.]{0,80}\b(months?|times)\b"),
+)
+
+
+def _risks() -> str:
+    """CTEs up to risks(doc_id, pos, clause, score, severity, reasons)."""
+    w = s._WS2
+    cut = rf"regexp_replace(regexp_replace(regexp_replace(text, '(\n{w}*[0-9]+(\.[0-9]+)*{w})', chr(31) || '\1', 'g'), '\n{{2,}}', chr(31), 'g'), '([.;]){w}+([A-Z(])', '\1' || chr(31) || '\2', 'g')"
+    base = " + ".join(f"CASE WHEN regexp_matches(clause, '{s.re2(p)}') THEN {n} ELSE 0 END" for n, _, p in _RISKS)
+    why = ", ".join(f"CASE WHEN regexp_matches(clause, '{s.re2(p)}') THEN '{label}' END" for _, label, p in _RISKS)
+    amount = s.re2(r"(?i)(₹|rs\.?|inr)\s?[0-9,]{4,}")
+    return f"""parts AS (SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS pos FROM (SELECT doc_id, string_split({cut}, chr(31)) AS p FROM documents WHERE text IS NOT NULL)),
+        cl AS (SELECT doc_id, pos, trim(regexp_replace(part, '{w}+', ' ', 'g')) AS clause FROM parts), sc AS (SELECT *, {base} AS base FROM cl WHERE length(clause) > 30 AND length(clause) < 1200),
+        st AS (SELECT doc_id, pos, clause, base + CASE WHEN regexp_matches(clause, '{amount}') THEN 1 ELSE 0 END AS score, concat_ws('|', {why}) AS reasons FROM sc WHERE base > 0),
+        risks AS (SELECT *, CASE WHEN score >= 6 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS severity FROM st)"""
+
+
 def oracle_sql() -> dict[str, str]:
     masked, found = s._masked()
     trim = s._TRIM % "coalesce(content, '')"
@@ -100,6 +124,9 @@ def oracle_sql() -> dict[str, str]:
         "rewrite_samples": f"""WITH e AS (SELECT 0 AS sample, * FROM ({one(0)}) LEFT JOIN ({chars(0)}) USING (qid) UNION ALL SELECT 1, * FROM ({one(1)}) LEFT JOIN ({chars(1)}) USING (qid)), m AS (SELECT sample, {means} FROM e GROUP BY 1), a AS (SELECT avg(h) AS any_hit FROM (SELECT qid, max(hit) AS h FROM e GROUP BY 1))
             SELECT round(avg(hit), 6) AS hit, round(avg(rr), 6) AS rr, round(avg(ndcg), 6) AS ndcg, round(avg(coverage), 6) AS coverage, round(avg(objective), 6) AS objective, round(max(hit) - min(hit), 6) AS hit_spread, any_value(round(any_hit, 6)) AS any_hit FROM m, a""",
         # core queries
+        "risk_clauses": f"WITH {_risks()} SELECT severity, count(*) AS clauses, CAST(sum(score) AS BIGINT) AS score, count(DISTINCT doc_id) AS docs FROM risks GROUP BY 1",
+        "risk_findings": f"""WITH {_risks()}, rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, pos) AS rank FROM risks)
+            SELECT doc_id, rank, severity, CAST(score AS BIGINT) AS score, CASE WHEN length(clause) > 420 THEN left(clause, 420) || '...' ELSE clause END AS clause, reasons FROM rk WHERE rank <= 12""",
         "quantize_loss": """WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) AS m FROM embeddings), z AS (SELECT vec_id, v, list_transform(v, lambda x: floor(x / CASE WHEN m = 0 THEN 1 ELSE m END * 127 + 0.5)) AS q FROM q),
             n AS (SELECT vec_id, list_sum(list_transform(list_zip(v, q), lambda p: p[1] * p[2])) AS vq, list_sum(list_transform(v, lambda x: x * x)) AS vv, list_sum(list_transform(q, lambda x: x * x)) AS qq FROM z)
             SELECT vec_id, round(vq / CASE WHEN sqrt(vv * qq) = 0 THEN 1 ELSE sqrt(vv * qq) END, 4) AS cosine FROM n""",

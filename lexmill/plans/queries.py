@@ -227,7 +227,7 @@ def risk_clauses(spark: SparkSession, d: str) -> DataFrame:
 
 def risk_findings(spark: SparkSession, d: str) -> DataFrame:
     f = risk.findings(_t(spark, d, "documents"), F.col("text"), "doc_id")
-    return f.select("doc_id", "rank", "severity", "score", "clause", "reasons")
+    return f.select("doc_id", F.col("rank").cast("bigint").alias("rank"), "severity", F.col("score").cast("bigint").alias("score"), "clause", F.array_join("reasons", "|").alias("reasons"))
 
 
 def risk_keywords(spark: SparkSession, d: str) -> DataFrame:
