@@ -33,6 +33,8 @@ from pyspark.sql import types as T
 LABELS = ("other", "name", "address", "phone", "identity", "account", "email")
 O, N, A, P, I, C, E = range(7)
 MARKS = {N: "[NAME]", A: "[ADDRESS]", P: "[PHONE]", I: "[IDENTITY]", C: "[ACCOUNT]", E: "[EMAIL]"}
+#: Labels that the ends of a link share: an address is a run of different words, and a word that may stand in one says little of the next.
+SHARED = [N, P, I, C, E]
 #: Characters round a sign and round a repeat of a name that are cut into tokens; rounds of messages at most, and when they have settled.
 REACH, AROUND, ROUNDS, SETTLED, DAMPING = 170, 60, 40, 1e-3, 0.5
 #: Rows the weights are fitted on at most, steps and width of the prior.
@@ -121,7 +123,7 @@ _CUE_NAMES = {P: "cue phone", I: "cue identity", C: "cue account"}
 
 
 class Model:
-    """Weights: node (features x labels), chain (label, next label) and skip (of equal labels but other at the ends of a link)."""
+    """Weights: node (features x labels), chain (label, next label) and skip (of equal labels of ``SHARED`` at the ends of a link)."""
 
     __slots__ = ("chain", "node", "skip")
 
@@ -455,15 +457,15 @@ class _Net:
 
 
 def _shared(cavity: np.ndarray, same: float) -> np.ndarray:
-    """Message of one end of a link to the other: only equal labels of personal data are rewarded, so occurrences without evidence never outvote one with it."""
+    """Message of one end of a link to the other: only equal labels of ``SHARED`` are rewarded, so occurrences without evidence never outvote one with it."""
     p = np.exp(cavity - cavity.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
-    p[:, O] = 0
+    p[:, [O, A]] = 0
     return np.log(1 + (same - 1) * p)
 
 
 def beliefs(net: _Net, unary: np.ndarray, model: Model, pairs: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Log label beliefs of all tokens by loopy message passing, and the expected number of links of equal labels but other; pairs: takes the expected label pairs."""
+    """Log label beliefs of all tokens by loopy message passing, and the expected number of links of equal labels of ``SHARED``; pairs: takes the expected label pairs."""
     order = np.argsort(net.lengths, kind="stable")
     belief = np.zeros((net.n, 7))
     _sweep(belief, unary, net.starts, net.lengths, order, model.chain, None if len(net.a) else pairs)
@@ -484,7 +486,7 @@ def beliefs(net: _Net, unary: np.ndarray, model: Model, pairs: np.ndarray | None
     if pairs is not None:
         _sweep(belief, unary + into, net.starts, net.lengths, order, model.chain, pairs)
     x, y = (np.exp(c - c.max(1, keepdims=True)) for c in (belief[net.a] - message[1], belief[net.b] - message[0]))
-    agree = (x * y)[:, 1:].sum(1)
+    agree = (x * y)[:, SHARED].sum(1)
     return belief, float((same * agree / ((same - 1) * agree + x.sum(1) * y.sum(1))).sum())
 
 
