@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def fnv(word: Column, seed: int = 2166136261) -> Column:
     """32-bit FNV-1a of an ASCII word, unsigned, as a long."""
-    codes = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.ascii(F.substring(word, i, F.lit(1))))
-    step = lambda h, c: (h.bitwiseXOR(c.cast("long")) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
+    codes = F.slice(F.split(word, ""), F.lit(1), F.length(word))  # a split into letters ends in an empty one
+    step = lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
     return F.when(F.length(word) > 0, F.aggregate(codes, F.lit(seed).cast("long"), step)).otherwise(F.lit(seed).cast("long"))
 
 

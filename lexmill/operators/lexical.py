@@ -40,23 +40,25 @@ class Index:
 
 
 class StoredIndex(Index):
-    """An index on disk: postings (term, key, tf, n: passages of the term) sorted by term in buckets, and lengths with the totals.
+    """An index on disk: postings (term, key, tf) sorted by term in buckets, and lengths with the totals.
 
     A question batch reads the row groups of its terms only (statistics and pushed filters on term and bucket); nothing is tokenised again.
     """
 
-    BUCKETS = 64
+    BUCKETS = 16
 
     def __init__(self, spark: SparkSession, path: str, key: str = "chunk_no") -> None:
         self.key, self.spark, self.path = key, spark, path
-        self.totals = spark.read.parquet(f"{path}/totals")
+        # the key's type is the lengths' (one small file is looked at); nothing else is inferred
+        self.kind = spark.read.parquet(f"{path}/lengths").schema[key].dataType.simpleString()
+        self.totals = spark.read.schema("docs long, mean double, terms long").parquet(f"{path}/totals")
 
     @classmethod
     def build(cls, passages: DataFrame, path: str, key: str = "chunk_no", heading_weight: float = 1) -> StoredIndex:
         """Write the index to a folder the executors share."""
         spark, plain = passages.sparkSession, Index(passages, key, heading_weight)
         tf = plain.terms.groupBy("term", key).agg(F.count("*").alias("tf"))
-        tf.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS))).repartition("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        tf.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS)).cast("int")).repartitionByRange("bucket", "term", key).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
         stored = spark.read.parquet(f"{path}/postings")
         counted = stored.groupBy(key).agg(F.sum("tf").alias("len"))
         lens = passages.select(key).join(counted, key, "left").select(key, F.coalesce("len", F.lit(0)).alias("len"))
@@ -85,11 +87,11 @@ class StoredIndex(Index):
         return cls.build(passages, path, key, heading_weight)
 
     def lengths(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/lengths")
+        return self.spark.read.schema(f"{self.key} {self.kind}, len long").parquet(f"{self.path}/lengths")
 
     def postings(self, asked: DataFrame) -> DataFrame:
         words = [r.term for r in asked.select("term").distinct().limit(self.LITERALS + 1).collect()]
-        rows = self.spark.read.parquet(f"{self.path}/postings")
+        rows = self.spark.read.schema(f"term string, {self.key} {self.kind}, tf long, bucket int").parquet(f"{self.path}/postings")
         if len(words) <= self.LITERALS:  # few enough terms are pushed to the files' statistics
             buckets = self.spark.range(1).select(*(F.pmod(F.xxhash64(F.lit(w)), F.lit(self.BUCKETS)).alias(f"b{i}") for i, w in enumerate(words))).first() if words else []
             rows = rows.where(F.col("bucket").isin(*sorted(set(buckets))) & F.col("term").isin(*words)) if words else rows.limit(0)
