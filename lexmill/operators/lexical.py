@@ -45,7 +45,8 @@ class StoredIndex(Index):
     A question batch reads the row groups of its terms only (statistics and pushed filters on term and bucket); nothing is tokenised again.
     """
 
-    BUCKETS = 16
+    #: Buckets of terms, and parts of a bucket by passage (a term that every passage has is spread over them); more for a larger collection.
+    BUCKETS, SPREAD = 16, 8
 
     def __init__(self, spark: SparkSession, path: str, key: str = "chunk_no") -> None:
         self.key, self.spark, self.path = key, spark, path
@@ -58,7 +59,7 @@ class StoredIndex(Index):
         """Write the index to a folder the executors share."""
         spark, plain = passages.sparkSession, Index(passages, key, heading_weight)
         tf = plain.terms.groupBy("term", key).agg(F.count("*").alias("tf"))
-        tf.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS)).cast("int")).repartitionByRange("bucket", "term", key).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        tf.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS)).cast("int")).repartition("bucket", F.pmod(F.xxhash64(key), F.lit(cls.SPREAD))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
         stored = spark.read.parquet(f"{path}/postings")
         counted = stored.groupBy(key).agg(F.sum("tf").alias("len"))
         lens = passages.select(key).join(counted, key, "left").select(key, F.coalesce("len", F.lit(0)).alias("len"))
